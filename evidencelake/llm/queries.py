@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bpe, chat, packing, quality, toxicity
+from evidencelake.llm import bpe, chat, ctph, packing, quality, simhash, topk, toxicity, warc
 from evidencelake.llm.common import cut, table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -49,10 +49,32 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY)
     return bpe.encode_documents(table(spark, sf_dir, "documents"), codec)
 
 
+def op3_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str = WORDS) -> DataFrame:
     with open(vocabulary, encoding="utf-8") as file:
         found = packing.pieces(table(spark, sf_dir, "documents"), file.read())
@@ -63,5 +85,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op5_toxicity, op8_best_fit_packing, op9_quality)}
-ORACLE_SQL = {"op1_chat_format": OP1}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP10 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_piecewise_hash, op5_toxicity, op6_simhash_golay, op7_warc, op8_best_fit_packing, op9_quality, op10_top_k)}
+ORACLE_SQL = {"op1_chat_format": OP1, "op7_warc": OP7, "op10_top_k": OP10}
