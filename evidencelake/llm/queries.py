@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bpe, chat, ctph, packing, quality, simhash, topk, toxicity, warc
+from evidencelake.llm import bpe, chat, ctph, packing, quality, simhash, suffix, topk, toxicity, warc
 from evidencelake.llm.common import cut, table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -53,6 +53,10 @@ def op3_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -100,5 +104,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_piecewise_hash, op5_toxicity, op6_simhash_golay, op7_warc, op8_best_fit_packing, op9_quality, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_piecewise_hash, op4_suffix_dedup, op5_toxicity, op6_simhash_golay, op7_warc, op8_best_fit_packing, op9_quality, op10_top_k)}
 ORACLE_SQL = {"op1_chat_format": OP1, "op7_warc": OP7, "op10_top_k": OP10}
