@@ -103,3 +103,15 @@ def worker_cache(key: tuple, make: Callable[[], object]) -> object:
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def keep_rows(docs: DataFrame, keeps: Callable[[str], bool]) -> DataFrame:
+    """The rows of ``docs`` whose text (null: empty) passes; whole batches go by, whatever columns there are."""
+    arrow_limits(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([keeps(x.as_py() or "") for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import held_out, labelled_sample, map_rows
+from evidencelake.llm.common import held_out, keep_rows, labelled_sample, map_rows
 
 #: Words and runs of marks; both tell junk from prose.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -115,3 +115,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     weights = train(labelled_sample(docs, labels, "quality", sample_rows))
     scored = score(docs, weights, "doc_id long", ["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, least: float = 0.5, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more."""
+    memo: list[Hasher] = []
+
+    def keeps(text: str) -> bool:
+        if not memo:
+            memo.append(Hasher())
+        idx, scale = features(text, memo[0], bits)
+        return sigmoid(float(weights[idx].sum(dtype=np.float64)) * scale + float(weights[-1])) >= least
+
+    return keep_rows(docs, keeps)

@@ -402,3 +402,28 @@ def digests(docs: DataFrame) -> DataFrame:
         return (r["doc_id"], len(kept) + removed, removed, len(spans), hashlib.sha256(kept).hexdigest())
 
     return deduplicate(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id"], outcome)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeats cut out of ``text``, shrunk to whole characters; ``n_chars``, where there is one, is counted anew."""
+    own = keyed(docs)
+    spans = repeated_spans(own)
+
+    def edit(source: Iterator[dict]) -> Iterator[tuple]:
+        for r in source:
+            raw = r["text"].encode()
+            ends = [0]
+            for a, b in merged([(s["start"], s["length"]) for s in r["spans"]]):
+                while a < b and raw[a] & 0xC0 == 0x80:
+                    a += 1
+                while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+                    b -= 1
+                ends += [a, b]
+            ends.append(len(raw))
+            yield (r["key"], b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)).decode())
+
+    cleaned = map_rows(own.select("key", "text").join(spans, "key"), "key long, cleaned string", edit)
+    out = own.join(cleaned, "key", "left").withColumn("text", F.coalesce("cleaned", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("cleaned").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
