@@ -2,41 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.llm.common import cut
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 80) -> DataFrame:
     """(node, component): the smallest node that each node of ``links`` (a, b) can reach.
 
-    Each round every node takes the least label around it, then the label of that label, and labels that are
-    linked hook onto lesser ones; the number of rounds goes with the logarithm of the longest path. Links
-    between equal labels are dropped as they are found; each round is written in the shared folder.
+    Each round orders nodes by a hash of their own, and every node gives way to the first of its neighbours, or
+    what that one has given way to; nodes that no other chose are gone, a third of a path's at least, so the number
+    of rounds goes with the logarithm of the nodes. Links within what has become one node are dropped. The least
+    node of each component is found at the end. Each round is written in the shared folder.
     """
-    both = links.select(F.col("a"), F.col("b")).where("a <> b")
+    both = links.select("a", "b").where("a <> b")
     edges = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = None  # node -> label so far
-    for _ in range(rounds):
-        least = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).where(F.col("to") < F.col("a"))
-        # a -> to points downward: a forest; two jumps shorten its paths
-        hop = least.select(F.col("a").alias("to"), F.col("to").alias("up"))
-        jumped = least.join(hop, "to", "left").select("a", F.coalesce("up", "to").alias("to"))
-        jumped = cut(jumped.join(hop, "to", "left").select("a", F.coalesce("up", "to").alias("to")))
-        if labels is None:
-            labels = jumped.select(F.col("a").alias("node"), F.col("to").alias("component"))
-        else:
-            step = jumped.select(F.col("a").alias("component"), "to")
-            moved = labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            labels = moved.unionByName(jumped.select(F.col("a").alias("node"), F.col("to").alias("component")).join(labels.select("node"), "node", "left_anti"))
-        labels = cut(labels)
-        left, right = jumped.select("a", F.col("to").alias("na")), jumped.select(F.col("a").alias("b"), F.col("to").alias("nb"))
-        moved = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
-        edges = cut(moved.where("a <> b").distinct())
+    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    for n in range(rounds):
+        place = lambda c, n=n: F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("to"))
+        first = edges.groupBy("a").agg(F.min(place("b")).alias("best")).where(F.col("best") < place("a")).select("a", F.col("best.to").alias("to"))
+        hop = first.select(F.col("a").alias("to"), F.col("to").alias("up"))
+        moves = first
+        for _ in range(2):
+            moves = moves.join(hop, "to", "left").select("a", F.coalesce("up", "to").alias("to"))
+        moves = cut(moves)
+        labels = cut(labels.join(moves.select(F.col("a").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        edges = cut(_moved(_moved(edges, moves, "a"), moves, "b").where("a <> b").distinct())
         if edges.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"links are left after {rounds} rounds")
-    roots = labels.select(F.col("component").alias("node"), "component").distinct()
-    return labels.unionByName(roots.join(labels.select("node"), "node", "left_anti"))
+            least = labels.groupBy("component").agg(F.min("node").alias("least"))
+            return labels.join(least, "component").select("node", F.col("least").alias("component"))
+    raise RuntimeError(f"links are left after {rounds} rounds")
+
+
+def _moved(edges: DataFrame, moves: DataFrame, end: str) -> DataFrame:
+    other: Column = F.col("b" if end == "a" else "a")
+    return edges.join(moves.select(F.col("a").alias(end), "to"), end, "left").select(F.coalesce("to", end).alias(end), other)

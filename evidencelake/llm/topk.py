@@ -109,9 +109,10 @@ class Slices:
 def exact_top(ids: np.ndarray, matrix: np.ndarray, query: np.ndarray, own: int, k: int) -> Iterator[tuple[int, int]]:
     """The same over integers of any size, for the rare blocks with components too large for slices."""
     wide = [int(x) for x in query]
-    scores = [(-sum(int(a) * b for a, b in zip(row, wide, strict=True)), i) for row, i in zip(matrix, ids.tolist(), strict=True) if i != own]
+    hold = lambda s: max(-_LIMIT - 1, min(_LIMIT, s))
+    scores = [(-hold(sum(int(a) * b for a, b in zip(row, wide, strict=True))), i) for row, i in zip(matrix, ids.tolist(), strict=True) if i != own]
     for score, i in sorted(scores)[:k]:
-        yield i, max(-_LIMIT - 1, min(_LIMIT, -score))
+        yield i, -score
 
 
 def blocks(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
