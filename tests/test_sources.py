@@ -246,3 +246,42 @@ def test_streams(spark, tmp_path):
     stream = live.minute_counts(spark.readStream.schema("ts timestamp, flagged boolean").parquet(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("minute_counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
     assert sorted((r.n, r.f) for r in spark.table("minute_counts").collect()) == [(1, 0), (1, 0), (2, 2)]
+
+
+@pytest.mark.skipif(not __import__("shutil").which("mke2fs"), reason="no tool that makes ext volumes here")
+def test_ext(tmp_path):
+    import subprocess
+
+    from evidencelake.sources.exfat_ext import Ext
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/a.txt").write_bytes(b"hello")
+    (tmp_path / "in/sub/big.bin").write_bytes(bytes(range(256)) * 4000)
+    for kind, block in (("ext4", "4096"), ("ext2", "1024")):
+        image = tmp_path / f"{kind}.img"
+        subprocess.run(["mke2fs", "-q", "-t", kind, "-b", block, "-d", str(tmp_path / "in"), str(image), "16M"], check=True)
+        data = image.read_bytes()
+        fs = Ext(reader(data))
+        rows = {e["path"]: e for e in fs.walk()}
+        assert {"/a.txt", "/sub", "/sub/big.bin", "/lost+found"} <= set(rows) and rows["/sub"]["is_dir"] and rows["/a.txt"]["size"] == 5
+        assert fs.content(fs.inode(int(rows["/sub/big.bin"]["node"]))) == bytes(range(256)) * 4000
+        assert volumes.identify(reader(data), 0) == "ext"
+
+
+def test_exfat():
+    from evidencelake.sources.exfat_ext import ExFat, exfat_time
+
+    disk = bytearray(512 * 200)
+    disk[3:11] = b"EXFAT   "
+    struct.pack_into("<5I", disk, 80, 8, 4, 20, 100, 2)
+    disk[108], disk[109] = 9, 0
+    struct.pack_into("<3I", disk, 8 * 512, 0, 0, 0xFFFFFFFF)
+    when = 22373 << 16 | 17366
+    file = struct.pack("<BBHHHIIIBBBBB7x", 0x85, 2, 0, 32, 0, when, when, when, 0, 0, 0x80 | 4, 0, 0)
+    disk[20 * 512 : 20 * 512 + 96] = file + struct.pack("<BBBBHHQIIQ", 0xC0, 3, 0, 5, 0, 0, 6, 0, 5, 6) + (b"\xc1\0" + "a.txt".encode("utf-16-le")).ljust(32, b"\0")
+    disk[23 * 512 : 23 * 512 + 6] = b"inside"
+    fs = ExFat(reader(bytes(disk)))
+    (e,) = fs.walk()
+    assert (e["path"], e["size"], e["created"], e["modified"]) == ("/a.txt", 6, "2023-11-05T07:30:44Z", "2023-11-05T08:30:44")
+    assert fs.content(int(e["node"]), 6, e["contiguous"]) == b"inside"
+    assert exfat_time(0, 0, 0) is None
