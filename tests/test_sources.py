@@ -285,3 +285,47 @@ def test_exfat():
     assert (e["path"], e["size"], e["created"], e["modified"]) == ("/a.txt", 6, "2023-11-05T07:30:44Z", "2023-11-05T08:30:44")
     assert fs.content(int(e["node"]), 6, e["contiguous"]) == b"inside"
     assert exfat_time(0, 0, 0) is None
+
+
+def test_codecs():
+    from evidencelake.functions import codecs
+
+    # a chunk of three letters and a reference to them; then a stored chunk
+    packed = struct.pack("<H", 0xB000 | 5) + bytes([0b1000]) + b"abc" + struct.pack("<H", (2 << 12) | 6) + struct.pack("<H", 0x3001) + b"xy"
+    assert codecs.lznt1(packed) == b"abcabcabcabc" + b"xy"
+    assert codecs.snappy(bytes([12, 2 << 2]) + b"abc" + bytes([(9 - 4) << 2 | 1, 3])) == b"abcabcabcabc"
+    assert codecs.crc32c(b"123456789") == 0xE3069283
+    with pytest.raises(ValueError):
+        codecs.snappy(bytes([12, 9 << 2 | 1, 3]))
+    # a table with one code for a letter and one for a reference of distance 1
+    lengths = [0] * 512
+    lengths[ord("a")], lengths[256 + 5] = 1, 1
+    table = bytes(lengths[i] | lengths[i + 1] << 4 for i in range(0, 512, 2))
+    assert codecs.xpress_huffman(table + struct.pack("<HH", 0b0100000000000000, 0), 9) == b"a" * 9
+
+
+def test_leveldb_log(spark):
+    from evidencelake.sources import containers
+
+    batch = struct.pack("<QI", 7, 2) + b"\x01\x01k\x02vv" + b"\x00\x01z"
+    data = struct.pack("<IHB", 0, len(batch), 1) + batch
+    assert list(containers.leveldb_log(data)) == [(b"k", b"vv", 7, False, "log"), (b"z", None, 8, True, "log")]
+    block = b"\x00\x09\x01" + b"k" + struct.pack("<Q", 5 << 8 | 1) + b"v" + struct.pack("<II", 0, 1)
+    index = b"\x00\x01\x02" + b"z" + bytes([0, len(block)]) + struct.pack("<II", 0, 1)
+    at = len(block) + 5
+    footer = (bytes([0, 0, at, len(index)])).ljust(40, b"\0") + bytes.fromhex("57fb808b247547db")
+    rows = list(containers.leveldb_table(block + bytes(5) + index + bytes(5) + footer))
+    assert rows == [(b"k", b"v", 5, False, "table")]
+
+
+def test_vmdk():
+    from evidencelake.sources import containers
+
+    grain = random.Random(3).randbytes(4096)
+    disk = bytearray(512 * 40)
+    disk[:80] = struct.pack("<4sIIQQQQIQQQBcccc", b"KDMV", 1, 3, 32, 8, 0, 0, 512, 0, 4, 0, 0, b"\n", b" ", b"\r", b"\n").ljust(80, b"\0")
+    disk[4 * 512 : 4 * 512 + 4] = struct.pack("<I", 6)
+    disk[6 * 512 : 6 * 512 + 16] = struct.pack("<4I", 0, 16, 0, 0)
+    disk[16 * 512 : 24 * 512] = grain
+    vmdk = containers.SparseVmdk(reader(bytes(disk)))
+    assert vmdk.size == 16384 and vmdk.read_at(0, 16384) == bytes(4096) + grain + bytes(8192) and vmdk.read_at(4100, 10) == grain[4:14]
