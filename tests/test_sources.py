@@ -329,3 +329,64 @@ def test_vmdk():
     disk[16 * 512 : 24 * 512] = grain
     vmdk = containers.SparseVmdk(reader(bytes(disk)))
     assert vmdk.size == 16384 and vmdk.read_at(0, 16384) == bytes(4096) + grain + bytes(8192) and vmdk.read_at(4100, 10) == grain[4:14]
+
+
+def evtx():
+    chunk = bytearray(65536)
+    chunk[:8] = b"ElfChnk\0"
+    out = bytearray()
+    base = 512 + 24
+
+    def named(text):  # a name that follows its own reference
+        place = base + len(out) + 4
+        return struct.pack("<I", place) + struct.pack("<IHH", 0, 0, len(text)) + text.encode("utf-16-le") + b"\0\0"
+
+    def opened(name, more=False):
+        out.extend(struct.pack("<BHI", 0x41 if more else 0x01, 0xFFFF, 0))
+        out.extend(named(name))
+        if more:
+            out.extend(bytes(4))
+
+    def text(value):
+        out.extend(struct.pack("<BBH", 5, 1, len(value)) + value.encode("utf-16-le"))
+
+    out.extend(b"\x0f\x01\x01\0\x0c\x01" + bytes(4))
+    template = base + len(out) + 4
+    out.extend(struct.pack("<I", template))
+    head = len(out)
+    out.extend(bytes(24))
+    out.extend(b"\x0f\x01\x01\0")
+    opened("Event")
+    out.append(2)
+    opened("System")
+    out.append(2)
+    opened("EventID")
+    out.append(2)
+    out.extend(struct.pack("<BHB", 0x0D, 0, 6))
+    out.extend(b"\x04")
+    opened("Computer")
+    out.append(2)
+    text("HOST")
+    out.extend(b"\x04\x04")
+    opened("EventData")
+    out.append(2)
+    opened("Data", True)
+    out.append(6)
+    out.extend(named("Name"))
+    text("who")
+    out.append(2)
+    out.extend(struct.pack("<BHB", 0x0E, 1, 1))
+    out.extend(b"\x04\x04\x04\0")
+    struct.pack_into("<I", out, head + 20, len(out) - head - 24)
+    values = [(6, struct.pack("<H", 4624)), (1, "ann".encode("utf-16-le"))]
+    out.extend(struct.pack("<I", 2) + b"".join(struct.pack("<HBB", len(v), k, 0) for k, v in values) + b"".join(v for _, v in values) + b"\0")
+    record = struct.pack("<IIQQ", 0x2A2A, 28 + len(out), 7, stamp(100)) + out + struct.pack("<I", 28 + len(out))
+    chunk[512 : 512 + len(record)] = record
+    struct.pack_into("<I", chunk, 48, 512 + len(record))
+    return b"ElfFile\0".ljust(4096, b"\0") + bytes(chunk)
+
+
+def test_evtx(spark):
+    row = artefacts.rows_of(files(spark, evtx()), "evtx").first()
+    assert row.unsupported is None and row.problem is None
+    assert (row.record_id, row.event_id, row.computer, row.fields["Event/EventData/who"]) == (7, "4624", "HOST", "ann")
