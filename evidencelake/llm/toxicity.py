@@ -32,7 +32,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 # Harmless phrases that hold a word of the lexicon.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clownfish", "pathetic fallacy", "sore loser rule", "not stupid")
 
-SAMPLE_ROWS, MIN_DOCS, MIN_WEIGHT, MAX_TERMS, THRESHOLD = 12_000, 3, 2.5, 400, 0.7
+SAMPLE_ROWS, MIN_DOCS, MIN_SHARE, MIN_WEIGHT, MAX_TERMS, THRESHOLD = 12_000, 3, 0.02, 4.0, 400, 0.7
 STEM = range(4, 8)
 _LETTERS = str.maketrans({k: v for k, v in HOMOGLYPHS.items()})
 _SPACE = re.compile(r"[\s]+")
@@ -116,7 +116,9 @@ def _terms(text: str) -> set[str]:
 
 def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """The lexicon of a bounded sample: document counts of terms by label meet on the executors, and only terms
-    over ``MIN_WEIGHT``, at most ``MAX_TERMS``, come to the driver; then a line through two inputs is fitted."""
+    over ``MIN_WEIGHT`` in ``MIN_SHARE`` of the toxic rows, at most ``MAX_TERMS``, come to the driver; then a line through two inputs is fitted."""
+
+    sample = sample.dropDuplicates(["text", "label"])  # words of a text with many copies are no evidence
 
     def count(source: Iterator[dict]) -> Iterator[tuple]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -139,13 +141,16 @@ def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexico
         return Lexicon({}, exceptions)
     weight = F.log((F.col("toxic") + 0.1) / F.lit(toxic + 0.2)) - F.log((F.col("clean") + 0.1) / F.lit(clean + 0.2))
     best = (
-        counted.where((F.col("term") != "") & (F.col("toxic") >= MIN_DOCS)).withColumn("weight", weight).where(F.col("weight") > MIN_WEIGHT)
-        .orderBy(F.desc("toxic"), F.desc("weight"), F.length("term"), "term").limit(MAX_TERMS).collect()
+        counted.where((F.col("term") != "") & (F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * toxic))).withColumn("weight", weight).where(F.col("weight") > MIN_WEIGHT)
+        .orderBy(F.desc(F.round("weight", 6)), F.desc(F.length(F.rtrim("term", F.lit("*")))), "term").limit(MAX_TERMS).collect()
     )
     kept: dict[str, float] = {}
-    for r in best:  # a term that a kept beginning covers adds nothing
-        if not any(r.term[:n] + "*" in kept for n in range(1, len(r.term) + 1)):
-            kept[r.term] = float(min(r.weight, 6.0))
+    uses: dict[str, int] = {}
+    for r in best:  # the longest form that says as much stands for shorter ones, and a beginning for the words it covers
+        stem = r.term.rstrip("*")
+        longer = sum(n for t, n in uses.items() if t.startswith(stem))
+        if longer < 0.9 * r.toxic and not any(stem[:n] + "*" in kept for n in range(1, len(stem) + 1)):
+            kept[r.term], uses[stem] = float(min(r.weight, 6.0)), r.toxic
     lexicon = Lexicon(kept, exceptions)
 
     def inputs(source: Iterator[dict]) -> Iterator[tuple]:
