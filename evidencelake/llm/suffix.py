@@ -112,6 +112,23 @@ def collapse(h: np.ndarray, c: np.ndarray, key: np.ndarray, at: np.ndarray) -> n
     return same
 
 
+def joined(h: np.ndarray, c: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(h, key, at) of single windows: those that repeat in the batch are covered already, and neighbours among them
+    become one row, so that a passage isn't a row for each of its bytes."""
+    same = collapse(h, c, key, at)
+    k, start = key[same], ~at[same] >> 8
+    order = np.lexsort((start, k))
+    k, start = k[order], start[order]
+    first = np.concatenate((np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (start[1:] != start[:-1] + 1)))
+    head = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
+    first |= (np.arange(len(k)) - head) % 256 == 0  # as many as a row's length can say
+    at_first = np.flatnonzero(first)
+    count = np.diff(np.append(at_first, len(k)))
+    k, span = k[at_first], ~(start[at_first] << 8 | (count - 1))
+    own = _mix((k.astype(np.uint64) * _MUL) ^ span.astype(np.uint64))
+    return np.concatenate((h[~same], own)), np.concatenate((key[~same], k)), np.concatenate((at[~same], span))
+
+
 def runs(docs: DataFrame) -> DataFrame:
     """The runs of (key, text), those that repeat within an Arrow batch already marked."""
     arrow_limits(docs.sparkSession)
@@ -212,8 +229,7 @@ def contexts(docs: DataFrame, first: DataFrame) -> DataFrame:
                     for column, value in zip(out, (gram, key, place, bytes(view[start : start + LEAST + (place & 255)])), strict=True):
                         column.append(value)
             if bare:
-                w, c, k, p = (np.concatenate(x) for x in zip(*bare, strict=True))
-                collapse(w, c, k, p)
+                w, k, p = joined(*(np.concatenate(x) for x in zip(*bare, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(k), pa.array(p), pa.nulls(len(w), pa.binary())], ["h", "key", "at", "bytes"])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["h", "key", "at", "bytes"])
