@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidencelake.operators import carve, intervals
+from evidencelake.operators import carve, intervals, volumes
 from evidencelake.plans.registry import query
 
 _IV = "iv AS (SELECT l_suppkey AS v, l_orderkey * 40 AS start, l_orderkey * 40 + l_quantity::BIGINT * 30 AS \"end\" FROM lineitem)"
@@ -87,3 +87,25 @@ def carve_hits(t):
     gif = "474946383961" + "0100010080000000000000ffffff2c00000000010001000002024401003b"
     data = F.concat(F.unhex(F.lit(gif)), F.col("html").cast("binary"), F.encode(F.lit("%PDF-1.4 body %%EOF\n"), "utf-8"))
     return carve.hits(t("pages").select(F.col("page_id").alias("source"), F.lit(0).cast("long").alias("offset"), data.alias("data")), alignment=1)
+
+
+@query("""WITH m AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS island FROM m)
+  SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM i GROUP BY user_id, island, event_type""")
+def volume_spans(t):
+    return volumes.spans(t("events"), ["user_id"], ["event_id"], "event_type")
+
+
+@query("SELECT quantile_disc(o_totalprice, 0.25) AS o_totalprice FROM orders")
+def quantile_probe(t):
+    return volumes.quantile(t("orders"), "o_totalprice", 0.25)
+
+
+@query("""WITH b AS (SELECT page_id AS node, encode(substr(url, 1, 16)) AS data FROM pages)
+  SELECT node, decode(data[1:4]) AS scheme, lower(hex(data[5:8])) AS mark, (ord(decode(data[9:9])) + 256 * ord(decode(data[10:10])))::VARCHAR AS number FROM b""")
+def structure_fields(t):
+    """Named fields at offsets, laid over the first bytes of each address."""
+    data = F.encode(F.substring("url", 1, 16), "utf-8")
+    laid = volumes.overlay(data, [("scheme", 0, 4, "text"), ("mark", 4, 4, "hex"), ("number", 8, 2, "uint")])
+    at = lambda i: F.get(laid, F.lit(i))["value"]
+    return t("pages").select(F.col("page_id").alias("node"), at(0).alias("scheme"), at(1).alias("mark"), at(2).alias("number"))

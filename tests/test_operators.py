@@ -129,3 +129,23 @@ def test_scalars(spark):
     assert get(scalars.rot13(F.lit("Uryyb"))) == "Hello" and get(scalars.reverse_host(F.lit("moc.elpmaxe."))) == "example.com"
     assert get(scalars.flag_names(F.lit(5), {1: "a", 2: "b", 4: "c"})) == ["a", "c"]
     assert str(get(scalars.nth_weekday(F.lit(2024), 3, "SUN", 2))) == "2024-03-10" and str(get(scalars.nth_weekday(F.lit(2024), 10, "SUN", -1))) == "2024-10-27"
+
+
+def test_quantile(spark):
+    from evidencelake.operators.volumes import quantile
+
+    rnd = random.Random(8)
+    values = sorted(rnd.choice([1.0, 2.0, rnd.random() * 5]) for _ in range(5000))
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    for share in (0.0, 0.1, 0.5, 0.77, 1.0):
+        assert quantile(df, "x", share, 100).first()[0] == values[max(0, -(-int(share * 5000) // 1) - 1)]
+
+
+def test_registry_report(spark):
+    from evidencelake.operators import volumes
+
+    rows = [("ROOT/Software/Microsoft/Windows/CurrentVersion/Run", "app", "a.exe"), ("X/Explorer/UserAssist/{1}/Count", "Uryyb", "01"), ("Y/other", "n", "v")]
+    got = {(r.section, r.name) for r in volumes.registry_report(spark.createDataFrame(rows, "path string, name string, value string")).collect()}
+    assert got == {("run", "app"), ("user assist", "Hello")}
+    bags = spark.createDataFrame([(1, None, "Desktop"), (2, 1, "C:"), (3, 2, "x")], "node long, parent long, name string")
+    assert {r.path for r in volumes.shellbag_paths(bags).collect()} == {"Desktop", "Desktop\\C:", "Desktop\\C:\\x"}
