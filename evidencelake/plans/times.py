@@ -40,7 +40,7 @@ def timeline_histogram(t):
 
 
 @query(f"""WITH {_EV}, e AS (SELECT * FROM ev WHERE sort >= 1704067200 AND sort < 1704070800), b AS (SELECT unnest(range(100))::INT AS bar)
-  SELECT bar, 1704067200.0 + bar * 36.0 AS start, count(e.id) AS n, count(*) FILTER (WHERE coalesce(e.flagged, false)) AS f FROM b LEFT JOIN e ON floor((e.sort - 1704067200) / 36.0) = bar GROUP BY bar""")
+  SELECT bar, (1704067200.0 + bar * 36.0)::DOUBLE AS start, count(e.id) AS n, count(*) FILTER (WHERE coalesce(e.flagged, false)) AS f FROM b LEFT JOIN e ON floor((e.sort - 1704067200) / 36.0) = bar GROUP BY bar""")
 def timeline_histogram_fine(t):
     """An hour in bars of 36 seconds: counted by event."""
     return timeline.histogram(_events(t), 100, 1704067200.0, 1704070800.0)
