@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import held_out, labelled_sample, map_rows
+from evidencelake.llm.common import held_out, keep_rows, labelled_sample, map_rows
 
 # Letters of other scripts and signs that look like Latin letters.
 HOMOGLYPHS = {
@@ -187,3 +187,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     lexicon = learn(labelled_sample(docs, labels, "toxic", sample_rows))
     scored = toxicity(docs, lexicon, "doc_id long", ["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, lexicon: Lexicon, most: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score under ``most``."""
+    return keep_rows(docs, lambda text: lexicon.score(text) < most)
