@@ -323,6 +323,46 @@ def test_near_duplicates_by_shingles(spark):
     assert np.mean([got[i] == true[i] for i in got]) > 0.97
 
 
+def linked(data):
+    """The least index of each text's group, by brute force."""
+    sets, parent = [neardup.shingles(t) for t in data], list(range(len(data)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i in range(len(data)):
+        for j in range(i):
+            a, b = root(i), root(j)
+            if a != b:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                    parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(data))]
+
+
+def leaders(spark, data):
+    got = {r.key: r.leader for r in neardup.groups(spark.createDataFrame(list(enumerate(data)), "key long, text string")).collect()}
+    return [got[i] for i in range(len(data))]
+
+
+def changed(rnd, base, words, n):
+    copy = base.copy()
+    for at in rnd.sample(range(len(base)), n):
+        copy[at] = rnd.choice(words)
+    return copy
+
+
+@pytest.mark.parametrize("n, edits", [(300, (1, 4)), (1100, (3, 5))])
+def test_near_duplicates_in_crowds_without_base(spark, n, edits):
+    rnd = random.Random(n)
+    words = ["".join(rnd.choices("aeioust", k=5)) for _ in range(3000)]
+    base = rnd.choices(words, k=200)
+    data = [" ".join(changed(rnd, base, words, rnd.randint(*edits))) for _ in range(n)]
+    assert leaders(spark, data) == linked(data)
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------
 
 
