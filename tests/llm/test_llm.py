@@ -363,6 +363,19 @@ def test_near_duplicates_in_crowds_without_base(spark, n, edits):
     assert leaders(spark, data) == linked(data)
 
 
+def test_near_duplicates_with_edits_in_one_place(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("aeioust", k=4)) for _ in range(2000)]
+    data = []
+    for n in range(60, 460, 4):
+        base = rnd.choices(words, weights=[1 / (i + 1) for i in range(2000)], k=n)
+        more = rnd.choices(words, k=n // 6)
+        at = rnd.randrange(n - n // 12)
+        data += [" ".join(x) for x in (base, base + more, base[:at] + more[: n // 12] + base[at + n // 12 :])]
+    true = linked(data)
+    assert len(set(true)) < 200 and leaders(spark, data) == true
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------
 
 
