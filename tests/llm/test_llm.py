@@ -376,6 +376,12 @@ def test_near_duplicates_with_edits_in_one_place(spark):
     assert len(set(true)) < 200 and leaders(spark, data) == true
 
 
+def test_near_duplicates_of_the_same_words_in_other_orders(spark):
+    words = [f"w{i}" for i in range(100)]
+    data = [" ".join(x) for x in (words[::-1], words, words[50:] + words[:50])]
+    assert linked(data) == [0, 1, 1] and leaders(spark, data) == [0, 1, 1]
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------
 
 
