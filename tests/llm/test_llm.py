@@ -200,6 +200,22 @@ def test_folding_and_exceptions():
     assert toxicity.Lexicon({}).weigh("idiot")[0] == 0.0
 
 
+def test_lexicon_is_the_same_at_any_partitioning(spark):
+    rows = [("vile " * 3 + f"t{i}", 1) for i in range(4)] + [("dirt " * 3 + f"s{i}", 1) for i in range(4)]
+    rows += [(f"calm{'abcdefghij'[i // 26 % 10]}{chr(97 + i % 26)} day{chr(97 + i % 26)}" + (" dirt" if i % 30 == 0 else ""), 0) for i in range(240)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    learned, held = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            learned.append(toxicity.learn(df).terms)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert learned[0] == learned[1] and any("vile".startswith(t.rstrip("*")) for t in learned[0]) and not any("dirt".startswith(t.rstrip("*")) for t in learned[0])
+
+
 def test_ftrl_learns():
     model = quality.FTRL(bits=4)
     for _ in range(200):
