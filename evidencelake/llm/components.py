@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import cut
+from evidencelake.llm.common import cut, dealt_by_size
 
 
 def components(links: DataFrame, rounds: int = 80) -> DataFrame:
@@ -13,25 +13,33 @@ def components(links: DataFrame, rounds: int = 80) -> DataFrame:
 
     Each round orders nodes by a hash of their own, and every node gives way to the first of its neighbours, or
     what that one has given way to; nodes that no other chose are gone, a third of a path's at least, so the number
-    of rounds goes with the logarithm of the nodes. Links within what has become one node are dropped. The least
-    node of each component is found at the end. Each round is written in the shared folder.
+    of rounds goes with the logarithm of the nodes. Links within what has become one node are dropped, and shuffles get
+    as many partitions as the links that are left ask for. The moves of all rounds are put together at the end, where
+    the least node of each component is found. Each round is written in the shared folder.
     """
+    spark = links.sparkSession
     both = links.select("a", "b").where("a <> b")
-    edges = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    edges = first = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = first.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    nodes = edges.count()
     for n in range(rounds):
+        left = edges.count()
+        if not left:
+            with dealt_by_size(spark, nodes):
+                labels = cut(labels)
+                least = labels.groupBy("component").agg(F.min("node").alias("least"))
+                return cut(labels.join(least, "component").select("node", F.col("least").alias("component")))
         place = lambda c, n=n: F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("to"))
-        first = edges.groupBy("a").agg(F.min(place("b")).alias("best")).where(F.col("best") < place("a")).select("a", F.col("best.to").alias("to"))
-        hop = first.select(F.col("a").alias("to"), F.col("to").alias("up"))
-        moves = first
-        for _ in range(2):
-            moves = moves.join(hop, "to", "left").select("a", F.coalesce("up", "to").alias("to"))
-        moves = cut(moves)
-        labels = cut(labels.join(moves.select(F.col("a").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        edges = cut(_moved(_moved(edges, moves, "a"), moves, "b").where("a <> b").distinct())
-        if edges.isEmpty():
-            least = labels.groupBy("component").agg(F.min("node").alias("least"))
-            return labels.join(least, "component").select("node", F.col("least").alias("component"))
+        with dealt_by_size(spark, left):
+            chosen = edges.groupBy("a").agg(F.min(place("b")).alias("best")).where(F.col("best") < place("a")).select("a", F.col("best.to").alias("to"))
+            chosen = cut(chosen)
+            hop = chosen.select(F.col("a").alias("to"), F.col("to").alias("up"))
+            moves = chosen
+            for _ in range(2):
+                moves = moves.join(hop, "to", "left").select("a", F.coalesce("up", "to").alias("to"))
+            moves = cut(moves)
+            edges = cut(_moved(_moved(edges, moves, "a"), moves, "b").where("a <> b").distinct())
+        labels = labels.join(moves.select(F.col("a").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     raise RuntimeError(f"links are left after {rounds} rounds")
 
 
