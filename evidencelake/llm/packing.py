@@ -2,8 +2,10 @@
 
 Documents become ids of a word-level BPE and an end id; only those longer than a sequence are cut. Pieces are
 dealt by a hash into groups of a bounded size, each packed by itself; the sequences that a group leaves poorly
-filled are packed again in a second round over far fewer pieces. Null texts are empty: one piece, the end id.
-Repeated rows are packed each; extra columns are not read; an empty table has no piece.
+filled are packed again in a second round over far fewer pieces. A group's search is bounded by a number of steps; where they
+don't suffice to prove its packing the best, the best one found stands, never worse than best fit. Null texts are empty: one piece, the end id.
+Repeated rows are packed each; pieces of one length are taken in order of doc_id and piece; very long texts are cut
+into pieces as they are encoded; extra columns are not read; an empty table has no piece.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import json
 import re
 import unicodedata
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
@@ -27,6 +29,8 @@ from evidencelake.llm.common import cut, map_rows, worker_cache
 
 #: Sequence length, id that ends a document, pieces a group holds about, fill under which a sequence is packed again.
 LIMIT, END, GROUP, FULL = 4096, 1, 4_000, 0.995
+#: Steps of the search in one group, of which each looks at one filling in the making.
+STEPS = 300_000
 CHUNKS, WORDS = 250_000, 400_000
 #: Characters for which the pieces between spaces, lower case and classes of the standard library are the tokenizer's.
 _PLAIN = re.compile(r"[\n\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ÿ]*\Z")
@@ -136,86 +140,202 @@ def pieces(docs: DataFrame, spec: str, limit: int = LIMIT, end_id: int = END, wi
     return map_rows(docs.select("doc_id", "text"), schema, rows)
 
 
-class Completion:
-    """Bin completion: fill the sequence of the largest piece best, then go on with what is left.
+class Spent(Exception):
+    """The steps of a search are used up; the incumbent stands."""
+
 
-    ``fill`` searches the undominated fillings of a gap by branch and bound: lengths go downward, so that a
-    filling precedes those that it dominates (any subset of it, or one with a shorter piece in place of a
-    longer that fits as well); a branch ends where its sum with all that may follow can't beat the incumbent.
-    The first incumbent is the best-fit-decreasing filling. ``steps`` bounds the search of one gap only; the
-    incumbent then stands, and every piece is still packed.
+class Completion:
+    """Bin completion by branch and bound over the sequences of one group.
+
+    A sequence is built around the largest piece left: a node of the search branches over the undominated fillings
+    of the room beside it. A filling is dominated where a piece that it leaves out fits into its waste, or can take
+    the place of one or two of its pieces that are together no longer: any packing with the dominated filling can then be
+    turned into one with the other. The first incumbent is the whole best-fit-decreasing packing. A branch ends
+    where the waste of its closed sequences leaves no way to use fewer sequences than the incumbent, and the
+    search ends where the incumbent meets the lower bound.
+
+    Passes look at ever more fillings a node and take ever more of them, those of least waste first, from one
+    alone to all; a pass that left none out has proved its incumbent the best. ``steps`` bounds all passes together. The order of the search doesn't
+    depend on it, so more steps never give more sequences.
     """
 
-    def __init__(self, lengths: list[int], limit: int = LIMIT, steps: int = 400):
-        self.limit, self.steps = limit, steps
+    def __init__(self, lengths: list[int], limit: int = LIMIT, steps: int = STEPS):
+        self.limit, self.left, self.total = limit, steps, sum(lengths)
         self.items: dict[int, list[int]] = defaultdict(list)
         for i in sorted(range(len(lengths)), key=lambda i: -i):
             self.items[lengths[i]].append(i)
-        self.sizes = sorted(self.items)  # distinct lengths that are left
-
-    def best_fit(self, gap: int) -> list[int]:
-        out, used = [], defaultdict(int)
-        at = bisect_right(self.sizes, gap)
-        while at:
-            size = self.sizes[at - 1]
-            if used[size] < len(self.items[size]):
-                used[size] += 1
-                out.append(size)
-                gap -= size
-                at = bisect_right(self.sizes, gap, 0, at)
-            else:
-                at -= 1
-        return out
-
-    def fill(self, gap: int) -> list[int]:
-        best = self.best_fit(gap)
-        waste = gap - sum(best)
-        if not waste or not self.sizes or self.sizes[0] > gap:
-            return best
-        left = self.steps
-
-        def search(at: int, room: int, chosen: list[int]) -> None:
-            nonlocal best, waste, left
-            if room < waste:
-                best, waste = chosen.copy(), room
-            at = bisect_right(self.sizes, room, 0, at)
-            while at and waste and left > 0:
-                size = self.sizes[at - 1]
-                have = len(self.items[size])
-                most = min(have, room // size)
-                if at == 1 and room - size * most >= waste:
-                    return  # nothing smaller: the bound on waste
-                left -= 1
-                for n in range(most, 0, -1):  # more of the longer first: fewer would be dominated unless they fit better
-                    search(at - 1, room - n * size, chosen + [size] * n)
-                    if not waste or left <= 0:
-                        return
-                at -= 1
-
-        search(len(self.sizes), gap, [])
-        return best
+        self.have = {size: len(own) for size, own in self.items.items()}
+        self.sizes = sorted(self.have)  # distinct lengths that are left
 
-    def take(self, size: int) -> int:
-        own = self.items[size]
-        item = own.pop()
-        if not own:
-            del self.items[size]
+    def take(self, size: int, n: int = 1) -> None:
+        self.have[size] -= n
+        if not self.have[size]:
             del self.sizes[bisect_right(self.sizes, size) - 1]
-        return item
 
-    def give(self, size: int, item: int) -> None:
-        if size not in self.items:
+    def give(self, size: int, n: int = 1) -> None:
+        if not self.have[size]:
             insort(self.sizes, size)
-        self.items[size].append(item)
+        self.have[size] += n
+
+    def best_fit(self) -> list[list[int]]:
+        """Each length, from the longest, goes where it leaves the least room."""
+        bins: list[list[int]] = []
+        rooms: list[int] = []  # sorted, with the sequences that have them
+        of: dict[int, list[int]] = defaultdict(list)
+        for size in reversed(self.sizes):
+            for _ in range(self.have[size]):
+                at = bisect_left(rooms, size)
+                if at == len(rooms):
+                    room, b = self.limit, len(bins)
+                    bins.append([])
+                else:
+                    room = rooms[at]
+                    b = of[room].pop()
+                    if not of[room]:
+                        del rooms[at]
+                bins[b].append(size)
+                room -= size
+                if room:
+                    if not of[room]:
+                        insort(rooms, room)
+                    of[room].append(b)
+        return bins
+
+    def bound(self) -> int:
+        """The fewest sequences by their sum, and by pieces of which no two go together with what must go beside them."""
+        least = -(-self.total // self.limit)
+        half = self.limit // 2
+        large = [(s, self.have[s]) for s in reversed(self.sizes) if s > half]
+        n_large = sum(n for _, n in large)
+        for k in [0, *(s for s in self.sizes if s <= half)]:
+            alone = sum(n for s, n in large if s > self.limit - k)
+            room = sum((self.limit - s) * n for s, n in large if s <= self.limit - k)
+            rest = sum(s * self.have[s] for s in self.sizes if k <= s <= half)
+            least = max(least, n_large + max(0, -(-(rest - room) // self.limit)))
+            if alone == n_large or len(self.sizes) > 400 and k:
+                break
+        return least
+
+    def dominated(self, chosen: list[tuple[int, int]], room: int) -> bool:
+        """Whether a piece left out fits into ``room``, or for one or two of the ``chosen`` (length, how many)."""
+        used = dict(chosen)
+        sizes, have = self.sizes, self.have
+
+        def out(low: int, high: int) -> bool:
+            for at in range(bisect_left(sizes, low), bisect_right(sizes, high)):
+                if have[sizes[at]] > used.get(sizes[at], 0):
+                    return True
+            return False
+
+        if out(0, room):
+            return True
+        if not room and len(chosen) > 8:
+            return False
+        for i, (a, n) in enumerate(chosen):
+            if room and out(a + 1, a + room):
+                return True
+            if i < 8:
+                for b, _ in chosen[i + (n < 2) : 8]:
+                    if out(a + b, a + b + room):
+                        return True
+        return False
+
+    def fillings(self, gap: int, waste: int, width: int, cap: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], bool]:
+        """At most ``width`` undominated fillings (waste, [(length, how many)]) that waste no more than ``waste``,
+        the least waste first, of those that ``cap`` steps find; and whether that is all there are."""
+        found: list[tuple[int, list[tuple[int, int]]]] = []
+        left, whole, exact = cap, True, 0
+
+        def search(at: int, room: int, chosen: list[tuple[int, int]]) -> bool:
+            nonlocal left, whole, exact
+            if self.left <= 0:
+                raise Spent
+            self.left -= 1
+            left -= 1
+            if room <= waste and not self.dominated(chosen, room):
+                found.append((room, chosen))
+                exact += not room
+            if left <= 0 or exact >= width:
+                whole = False
+                return False
+            at = bisect_right(self.sizes, room, 0, at)
+            while at:
+                at -= 1
+                size = self.sizes[at]
+                most = min(self.have[size], room // size)
+                if not at and room - size * most > waste:
+                    return True  # nothing shorter is left: too much waste whatever is taken
+                for n in range(most, 0, -1):
+                    if not search(at, room - n * size, [*chosen, (size, n)]):
+                        return False
+                at = bisect_right(self.sizes, room, 0, at)
+            return True
+
+        search(len(self.sizes), gap, [])
+        found.sort(key=lambda f: (f[0], sum(n for _, n in f[1])))
+        return found[:width], whole and len(found) <= width
+
+    def deepen(self, best: list[list[int]], least: int, width: int, cap: int) -> tuple[list[list[int]], bool]:
+        """The best packing of one pass, and whether it branched over all fillings."""
+        whole = True
+        closed: list[tuple[int, int, list[tuple[int, int]]]] = []  # waste so far, largest piece, filling
+        waiting: list[tuple[int, int, list]] = []  # waste before, largest piece, fillings to try (last first)
+        wasted = 0
+
+        def undo() -> bool:
+            """Back to the last sequence with a filling to try, which is then taken."""
+            nonlocal wasted
+            while waiting:
+                before, largest, rest = waiting[-1]
+                if len(closed) == len(waiting):
+                    _, _, filling = closed.pop()
+                    for size, n in filling:
+                        self.give(size, n)
+                if rest and before + rest[-1][0] <= (len(best) - 1) * self.limit - self.total:
+                    room, filling = rest.pop()
+                    for size, n in filling:
+                        self.take(size, n)
+                    wasted = before + room
+                    closed.append((wasted, largest, filling))
+                    return True
+                waiting.pop()
+                self.give(largest)
+                wasted = before
+            return False
+
+        try:
+            while True:
+                if not self.sizes:
+                    best = [[largest, *(s for s, n in filling for _ in range(n))] for _, largest, filling in closed]
+                    if len(best) <= least or not undo():
+                        return best, whole
+                    continue
+                spare = (len(best) - 1) * self.limit - self.total - wasted
+                largest = self.sizes[-1]
+                self.take(largest)
+                options, every = self.fillings(self.limit - largest, spare, width, cap) if spare >= 0 else ([], True)
+                whole &= every
+                waiting.append((wasted, largest, options[::-1]))
+                if not undo():
+                    return best, whole
+        except Spent:
+            return best, False
+        finally:
+            for _, _, filling in closed:
+                for size, n in filling:
+                    self.give(size, n)
+            for _, largest, _ in waiting:
+                self.give(largest)
 
     def pack(self) -> list[list[int]]:
-        bins = []
-        while self.sizes:
-            size = self.sizes[-1]
-            own = [self.take(size)]
-            own += [self.take(s) for s in self.fill(self.limit - size)]
-            bins.append(own)
-        return bins
+        """The pieces' numbers by sequence."""
+        best, least = self.best_fit(), self.bound()
+        width, cap, whole = 1, 25, False
+        while len(best) > least and self.left > 0 and not whole:
+            best, whole = self.deepen(best, least, width, cap)
+            width, cap = width if cap < 400 else 4 * width, 4 * cap
+        own = {size: items.copy() for size, items in self.items.items()}
+        return [[own[size].pop() for size in b] for b in best]
 
 
 def pack_group(frame: pd.DataFrame, limit: int, name: int) -> pd.DataFrame:
