@@ -2,14 +2,18 @@
 
 Folding lower-cases and turns homoglyphs and digits inside words into the letters they imitate.
 The lexicon's words and word beginnings and their weights are learned from a bounded labelled sample; the model
-is a few hundred strings whatever the input. Null texts are empty; a text without a match gets the base score.
-Repeated rows get one score each; with no labelled toxic row the lexicon is empty.
+is a few hundred strings whatever the input. A match inside an exception phrase counts nothing, all others do.
+Null texts are empty; a text without a match gets the base score. Repeated rows get one score each; with no labelled
+toxic row the lexicon is empty, with no document there is no row. Texts are scored whole, however long. Terms of one
+weight rank by length, then in their own order; a word that is both a term and begins with one counts twice. Extra
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -62,6 +66,10 @@ _DIGIT = re.compile(r"[0-9@$!]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _end(span: tuple[int, int]) -> int:
+    return span[1]
+
+
 @dataclass
 class Lexicon:
     """``terms``: weight by term; a term that ends in ``*`` stands for every word that begins with it."""
@@ -75,28 +83,45 @@ class Lexicon:
         return {"terms": self.terms, "exceptions": self.exceptions, "line": self.line, "_automaton": None}
 
     def automaton(self):
+        """Terms and phrases by their letters: one key may be a word, a beginning of words and a phrase at once."""
         if self._automaton is None and self.terms:
-            made = ahocorasick.Automaton()
+            held: dict[str, list[tuple[bool, float | None]]] = {}
             for term, weight in self.terms.items():
-                made.add_word(term.rstrip("*"), (term.rstrip("*"), term.endswith("*"), weight, 0))
+                held.setdefault(term.rstrip("*"), []).append((term.endswith("*"), weight))
             for phrase in self.exceptions:
-                inside = sum(w for t, w in self.terms.items() if t.rstrip("*") in phrase)
-                if inside and phrase not in self.terms:
-                    made.add_word(phrase, (phrase, False, -inside, 1))
+                held.setdefault(fold(phrase), []).append((False, None))
+            made = ahocorasick.Automaton()
+            for key, uses in held.items():
+                made.add_word(key, (len(key), uses))
             made.make_automaton()
             self._automaton = made
         return self._automaton
 
     def weigh(self, text: str) -> tuple[float, int]:
-        """Summed weights of matches at word boundaries, less those inside exceptions, and the text's length."""
+        """Summed weights of matches at word boundaries that lie in no exception phrase, and the text's length."""
         total = 0.0
         if (automaton := self.automaton()) is not None and text:
             folded = fold(text)
-            for end, (term, stem, weight, _) in automaton.iter(folded):
-                start = end - len(term) + 1
-                if (start == 0 or not folded[start - 1].isalpha()) and (stem or end + 1 == len(folded) or not folded[end + 1].isalpha()):
+            n, found, spared = len(folded), [], []
+            for last, (length, uses) in automaton.iter(folded):
+                start, end = last - length + 1, last + 1
+                if start and folded[start - 1].isalpha():
+                    continue
+                whole = end == n or not folded[end].isalpha()
+                for stem, weight in uses:
+                    if weight is None:
+                        if whole:
+                            spared.append((start, end))
+                    elif stem or whole:
+                        found.append((start, end, weight))
+            widest = max((e - s for s, e in spared), default=0)
+            for start, end, weight in found:
+                at = bisect_left(spared, end, key=_end)  # phrases come in order of their ends
+                while at < len(spared) and spared[at][1] <= start + widest and spared[at][0] > start:
+                    at += 1
+                if at == len(spared) or spared[at][1] > start + widest:
                     total += weight
-        return max(0.0, total), len(text)
+        return total, len(text)
 
     def inputs(self, text: str) -> tuple[float, float]:
         """Log of the weight, and the weight in a thousand characters, damped."""
