@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from evidencelake.llm.common import map_rows
 
 WINDOW, SIGNS, MOST = 7, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 160
-#: Bytes that are worked on at once, and the most buckets of neighbouring documents.
-SEGMENT, BUCKETS = 1 << 18, 16_384
+#: Bytes that are worked on at once, the most buckets of neighbouring documents, and ids sampled for each.
+SEGMENT, BUCKETS, SAMPLED = 1 << 18, 65_536, 8
 _FACTORS = [pow(0x01000193, j, 1 << 32) for j in range(WINDOW)]
 _SIGNS = np.frombuffer(SIGNS.encode(), np.uint8)
 
@@ -102,20 +102,36 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
+def _cuts(keys: DataFrame, rows: int) -> list[int]:
+    """The least keys of all buckets but the lowest, from a sample of some ``SAMPLED`` keys a bucket."""
+    buckets = max(1, min(BUCKETS, rows // 64))
+    found = sorted(r[0] for r in keys.sample(min(1.0, SAMPLED * buckets / max(1, rows)), seed=1).collect()) if buckets > 1 else []
+    return sorted({found[len(found) * i // buckets] for i in range(1, buckets)}) if found else []
+
+
+def _bucket(key: Column, cuts: list[int]) -> Column:
+    """How many of the ``cuts`` are at or below the key, by binary search in one constant array."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(array, at + step - 1) <= key), at + step).otherwise(at))
+    return found.cast("long")
+
+
 def fingerprints(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next[, edited]).
 
-    Texts are dealt once, by ranges of ids cut into buckets; the head of each bucket also goes to the end of the one
-    before it, so a task reads its documents in order with the next one at hand. Bucket heads, at most ``BUCKETS``
-    numbers, are all that the driver sees.
+    Texts are dealt once, by ranges of ids; the head of each bucket also goes to the end of the one
+    before it, so a task reads its documents in order with the next one at hand. Buckets are cut at quantiles of a sample
+    of the ids, so they are even however the ids lie. Sample and bucket heads, bounded by ``BUCKETS``, are all that the
+    driver sees.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = own.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    buckets = max(1, min(BUCKETS, n // 64))
-    width = (high - low + 1) // buckets + 1
-    own = own.withColumn("key", F.coalesce("doc_id", F.lit(low) - 1)).withColumn("bucket", F.floor((F.col("key") - low).cast("decimal(38,0)") / width).cast("long"))
+    low, n = own.agg(F.min("doc_id"), F.count("*")).first()
+    own = own.withColumn("key", F.coalesce("doc_id", F.lit(0 if low is None else low) - 1))
+    own = own.withColumn("bucket", _bucket(F.col("key"), _cuts(own.select("key"), n)))
     heads = [tuple(r) for r in own.groupBy("bucket").agg(F.max("key").alias("key")).orderBy(F.desc("bucket")).collect()]
     ends = [(key, heads[i - 1][0]) for i, (_, key) in enumerate(heads)]  # each head closes the bucket above; the first the last
     tails = own.drop("bucket").join(F.broadcast(spark.createDataFrame(ends, "key long, bucket long")), "key")
