@@ -6,7 +6,7 @@ the top rows are then selected from the most significant slice downward, and row
 resolved exactly, by smaller vec_id.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do rows without a vec_id. Rows that
-share a vec_id are one vector, the least of theirs. Vectors of other lengths count as padded with zeros; an empty one scores
+share a vec_id all take part, each as a candidate of the others too, and as a query with a result of its own. Vectors of other lengths count as padded with zeros; an empty one scores
 0. With fewer than k candidates a query gets them all; without queries there is no row. Extra columns are not read.
 Scores outside 64 bits are held at its limits.
 """
@@ -39,8 +39,8 @@ def usable(column: str):
 class Slices:
     """The bit slices of a block: ``planes[sign, attribute, bit]`` are bitmaps over its rows, ``sign`` 1 the complement."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        self.ids, self.matrix = ids, matrix
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, matrix: np.ndarray):
+        self.ids, self.rows, self.matrix = ids, rows, matrix
         n, d = matrix.shape
         self.low = matrix.min(axis=0) if n else np.zeros(d, np.int64)
         shifted = (matrix - self.low).T.astype(np.uint64)
@@ -84,11 +84,10 @@ class Slices:
         return out
 
     def top(self, query: np.ndarray, own: int, k: int) -> Iterator[tuple[int, int]]:
-        """(vec_id, score) of the k best rows but the query's own."""
+        """(vec_id, score) of the k best rows but the query's ``own``."""
         tied = self.valid.copy()
-        at = np.searchsorted(self.ids, own)
-        if at < len(self.ids) and self.ids[at] == own:
-            tied[at >> 6] &= ~np.uint64(1 << (int(at) & 63))
+        for at in np.flatnonzero(self.rows == own).tolist():
+            tied[at >> 6] &= ~np.uint64(1 << (at & 63))
         inside = np.zeros_like(tied)
         found = 0
         for plane in reversed(self.sums(query)):
@@ -106,43 +105,44 @@ class Slices:
         yield from zip(self.ids[chosen].tolist(), (self.matrix[chosen] @ query).tolist(), strict=True)
 
 
-def exact_top(ids: np.ndarray, matrix: np.ndarray, query: np.ndarray, own: int, k: int) -> Iterator[tuple[int, int]]:
+def exact_top(ids: np.ndarray, rows: np.ndarray, matrix: np.ndarray, query: np.ndarray, own: int, k: int) -> Iterator[tuple[int, int]]:
     """The same over integers of any size, for the rare blocks with components too large for slices."""
     wide = [int(x) for x in query]
     hold = lambda s: max(-_LIMIT - 1, min(_LIMIT, s))
-    scores = [(-hold(sum(int(a) * b for a, b in zip(row, wide, strict=True))), i) for row, i in zip(matrix, ids.tolist(), strict=True) if i != own]
+    scores = [(-hold(sum(int(a) * b for a, b in zip(row, wide, strict=True))), i) for row, i, own_row in zip(matrix, ids.tolist(), rows.tolist(), strict=True) if own_row != own]
     for score, i in sorted(scores)[:k]:
         yield i, -score
 
 
 def blocks(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
-    """(ids, matrix): packed blocks of one task's vectors, in order of vec_id; no shuffle."""
+    """(ids, rows, matrix): packed blocks of one task's vectors, in order of vec_id; no shuffle."""
 
     def pack(source: Iterator[dict]) -> Iterator[tuple]:
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray]] = []
 
         def flush() -> tuple:
-            held.sort(key=lambda x: x[0])
+            held.sort(key=lambda x: x[:2])
             matrix = np.zeros((len(held), dims))
-            for row, (_, v) in zip(matrix, held, strict=True):
+            for row, (_, _, v) in zip(matrix, held, strict=True):
                 row[: len(v)] = v
-            return (np.array([i for i, _ in held], "<i8").tobytes(), matrix.astype("<f8").tobytes() if np.abs(matrix).max(initial=0) >= SLICED else matrix.astype("<i4").tobytes())
+            ids, numbers = (np.array([x[c] for x in held], "<i8").tobytes() for c in (0, 1))
+            return (ids, numbers, matrix.astype("<f8").tobytes() if np.abs(matrix).max(initial=0) >= SLICED else matrix.astype("<i4").tobytes())
 
         for r in source:
-            held.append((r["vec_id"], quantise(r["embedding"])))
+            held.append((r["vec_id"], r["row"], quantise(r["embedding"])))
             if len(held) >= rows:
                 yield flush()
                 held = []
         if held:
             yield flush()
 
-    return map_rows(vectors, "ids binary, matrix binary", pack, out_rows=1)
+    return map_rows(vectors, "ids binary, rows binary, matrix binary", pack, out_rows=1)
 
 
-def unpack(ids: bytes, matrix: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def unpack(ids: bytes, rows: bytes, matrix: bytes, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, "<i8")
     wide = bool(len(own)) and dims and len(matrix) == len(own) * dims * 8
-    return own, np.frombuffer(matrix, "<f8" if wide else "<i4").reshape(len(own), dims)
+    return own, np.frombuffer(rows, "<i8"), np.frombuffer(matrix, "<f8" if wide else "<i4").reshape(len(own), dims)
 
 
 def top_k(embeddings: DataFrame, is_query, k: int = 10, block: int = BLOCK) -> DataFrame:
@@ -151,27 +151,26 @@ def top_k(embeddings: DataFrame, is_query, k: int = 10, block: int = BLOCK) -> D
     The stated queries, a hundredth of the rows, meet all rows in blocks: every block of the index gets every block of
     queries once, by a join on a slot number. Vectors are never copied, queries once for each slot.
     """
-    own = embeddings.where(F.col("vec_id").isNotNull() & usable("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    own = cut(own)
+    own = cut(embeddings.where(F.col("vec_id").isNotNull() & usable("embedding")).select("vec_id", "embedding", F.monotonically_increasing_id().alias("row")))
     dims = own.agg(F.max(F.size("embedding"))).first()[0] or 0
-    index = cut(blocks(own, block, dims)).withColumn("block", F.xxhash64("ids"))
+    index = cut(blocks(own, block, dims)).withColumn("block", F.xxhash64("rows"))
     slots = max(1, min(index.count(), 4096))
-    asked = blocks(own.where(is_query), QUERIES, dims).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    pairs = index.withColumn("slot", F.pmod("block", F.lit(slots)).cast("int")).join(asked.hint("shuffle_hash"), "slot").select("block", "ids", "matrix", "q_ids", "q_matrix")
+    asked = blocks(own.where(is_query), QUERIES, dims).select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    pairs = index.withColumn("slot", F.pmod("block", F.lit(slots)).cast("int")).join(asked.hint("shuffle_hash"), "slot").select("block", "ids", "rows", "matrix", "q_ids", "q_rows", "q_matrix")
 
     def search(source: Iterator[dict]) -> Iterator[tuple]:
-        last, slices, ids, matrix = None, None, None, None
+        last, slices, ids, rows, matrix = None, None, None, None, None
         for r in source:
             if r["block"] != last:
                 last = r["block"]
-                ids, matrix = unpack(r["ids"], r["matrix"], dims)
-                slices = Slices(ids, matrix.astype(np.int64)) if matrix.dtype == np.dtype("<i4") and dims else None
-            q_ids, queries = unpack(r["q_ids"], r["q_matrix"], dims)
-            for own_id, query in zip(q_ids.tolist(), queries, strict=True):
+                ids, rows, matrix = unpack(r["ids"], r["rows"], r["matrix"], dims)
+                slices = Slices(ids, rows, matrix.astype(np.int64)) if matrix.dtype == np.dtype("<i4") and dims else None
+            q_ids, q_rows, queries = unpack(r["q_ids"], r["q_rows"], r["q_matrix"], dims)
+            for own_id, own_row, query in zip(q_ids.tolist(), q_rows.tolist(), queries, strict=True):
                 small = slices is not None and query.dtype == np.dtype("<i4")
-                found = slices.top(query.astype(np.int64), own_id, k) if small else exact_top(ids, matrix, query, own_id, k)
+                found = slices.top(query.astype(np.int64), own_row, k) if small else exact_top(ids, rows, matrix, query, own_row, k)
                 for vec_id, score in found:
-                    yield (own_id, vec_id, score)
+                    yield (own_id, own_row, vec_id, score)
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return map_rows(pairs, "query_id long, vec_id long, score long", search).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    return map_rows(pairs, "query_id long, query_row long, vec_id long, score long", search).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
