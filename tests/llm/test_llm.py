@@ -97,6 +97,88 @@ def test_piecewise_fingerprints(spark):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.97
 
 
+def plain_fingerprint(text):
+    """The docstring's rule, a byte at a time."""
+    raw, levels = text.encode(), []
+    for i in range(len(raw)):
+        h = sum((raw[i - j] + 1) * pow(0x01000193, j, 1 << 32) for j in range(min(7, i + 1))) % (1 << 32)
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D % (1 << 32)
+        h ^= h >> 13
+        levels.append(next((b for b in range(31) if h >> b & 1), 31))
+    k = max(1, (len(raw) // 64).bit_length()) if raw else 1
+    while k > 1 and sum(x >= k for x in levels) < 8:
+        k -= 1
+    while k < 30 and sum(x >= k for x in levels) > 128:
+        k += 1
+
+    def signature(level):
+        chunks, held = [], b""
+        for byte, x in zip(raw, levels, strict=True):
+            held += bytes([byte])
+            if x >= level and len(chunks) < 159:
+                chunks.append(held)
+                held = b""
+        out = ""
+        for chunk in [*chunks, held] if held else chunks:
+            total = 0
+            for i, byte in enumerate(chunk):
+                place = (i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+                total += (byte + 1) * ((place ^ place >> 29) | 1)
+            total %= 1 << 64
+            total = (total ^ total >> 31) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[total >> 58]
+        return out
+
+    return f"{1 << k}:{signature(k)}:{signature(k + 1)}"
+
+
+def plain_likeness(x, y):
+    def alike(a, b):
+        if not a or not b:
+            return 0.0
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return 1.0 - row[-1] / max(len(a), len(b))
+
+    if x == y:
+        return 1.0
+    (bx, x1, x2), (by, y1, y2) = x.split(":"), y.split(":")
+    bx, by = int(bx), int(by)
+    if bx == by:
+        return max(alike(x1, y1), alike(x2, y2))
+    return alike(x1, y2) if bx == 2 * by else alike(x2, y1) if 2 * bx == by else 0.0
+
+
+def test_fingerprint_and_likeness_are_the_plain_rule(spark):
+    rnd = random.Random(43)
+    cases = ["".join(rnd.choices("abcdefg hé", k=k)) for k in (*range(12), 60, 200, 700, 3000)] + ["a" * 500, "ab" * 3000]
+    for text in cases:
+        assert ctph.fingerprint(text) == plain_fingerprint(text), len(text)
+    rows = [(i, t) for i, t in enumerate(cases)] + [(100 + i, t[: len(t) // 2] + "new" + t[len(t) // 2 :]) for i, t in enumerate(cases)]
+    rows = sorted(rows, key=lambda r: (len(r[1]), r[1]))
+    got = {r.doc_id: r for r in ctph.fingerprints(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    for i, r in got.items():
+        assert abs(r.near_edited - plain_likeness(r.fingerprint, r.edited_fingerprint)) < 1e-9
+        assert abs(r.near_next - plain_likeness(r.fingerprint, got[(i - 1) % len(got)].fingerprint)) < 1e-9
+
+
+def test_an_outlying_id_leaves_buckets_even(spark):
+    ids = [*range(2000), 1 << 62, -(1 << 62)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    cuts = ctph._cuts(docs.select(F.col("doc_id").alias("key")), len(ids))
+    sizes = [r["count"] for r in docs.groupBy(ctph._bucket(F.col("doc_id"), cuts).alias("bucket")).count().collect()]
+    assert len(sizes) == 31 and max(sizes) < 200
+    order = sorted(ids, reverse=True)
+    got = {r.doc_id: r.edited_sha256 for r in ctph.fingerprints(docs).collect()}
+    for i, d in enumerate(order):
+        text, after = f"text {d}", f"text {order[(i + 1) % len(order)]}"
+        assert got[d] == hashlib.sha256((text[: len(text) - len(text) // 3] + after[: len(text) // 3]).encode()).hexdigest()
+
+
 def test_piecewise_odd(spark, odd, none):
     got = ctph.fingerprints(odd).collect()
     assert len(got) == odd.count() and ctph.fingerprints(none).count() == 0
@@ -163,6 +245,23 @@ def test_maximal_repeats():
     assert (110, ((0, 10), (1, 10), (2, 10), (3, 10))) in found
 
 
+def test_suffix_stage_is_brute_force(spark):
+    """Only repeated passages go, and no character that any of their bytes belongs to stays in part."""
+    rnd = random.Random(31)
+    passages = ["".join(rnd.choices("abcd é", k=k)) for k in (110, 140, 300)]
+    rows = [(i, "".join(rnd.choice([rnd.choice(passages), "".join(rnd.choices("wxyz ü", k=rnd.randrange(90)))]) for _ in range(rnd.randrange(5)))) for i in range(80)]
+    kept = {r.doc_id: r.text for r in suffix.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(kept) == len(rows)
+    for (d, t), mask in zip(rows, removed(rows), strict=True):
+        at, expected = 0, []
+        for c in t:
+            n = len(c.encode())
+            if not mask[at : at + n].any():
+                expected.append(c)
+            at += n
+        assert kept[d] == "".join(expected), d
+
+
 # 5, 9 -------------------------------------------------------------------------------------------------------------
 
 
@@ -196,6 +295,9 @@ def test_folding_and_exceptions():
     plain = lexicon.weigh("you idiot")[0]
     assert plain == 5.0 and lexicon.weigh("you 1d10t")[0] == 5.0 and lexicon.weigh("you idіоt")[0] == 5.0
     assert lexicon.weigh("idiotic")[0] == 0.0 and lexicon.weigh("vequille")[0] == 4.0 and lexicon.weigh("a clown fish")[0] == 0.0
+    spans = toxicity.Lexicon({"idiot": 5.0, "idiot*": 3.0, "ash": 4.5, "lowe*": 4.0, "trash": 5.0, "ras*": 4.0})
+    for text, weight in [("you idiot", 8.0), ("the trash can, you idiot", 8.0), ("you idiot by the trash can", 8.0), ("trash", 5.0), ("a trash can of trash", 5.0), ("trash cans", 5.0), ("idiotic", 3.0)]:
+        assert spans.weigh(text)[0] == weight, text
     assert lexicon.score("idiot " + "word " * 5) > lexicon.score("idiot " + "word " * 5000) > lexicon.score("word")
     assert toxicity.Lexicon({}).weigh("idiot")[0] == 0.0
 
@@ -216,6 +318,56 @@ def test_lexicon_is_the_same_at_any_partitioning(spark):
     assert learned[0] == learned[1] and any("vile".startswith(t.rstrip("*")) for t in learned[0]) and not any("dirt".startswith(t.rstrip("*")) for t in learned[0])
 
 
+def test_matching_is_plain_matching():
+    """Aho-Corasick against a search for every term and phrase at every place."""
+    rnd = random.Random(37)
+    terms = {"ab": 1.0, "ab*": 2.0, "ba": 4.0, "bab*": 8.0, "c": 16.0, "cab": 32.0}
+    phrases = ("ab c", "cab ba", "c", "ba ba ba")
+    lexicon = toxicity.Lexicon(terms, phrases)
+    for _ in range(3000):
+        text = "".join(rnd.choices("abc ,", k=rnd.randrange(24)))
+        at = lambda key, i, stem: text.startswith(key, i) and not text[i - 1 : i].isalpha() * (i > 0) and (stem or not text[i + len(key) : i + len(key) + 1].isalpha())  # noqa: B023, E731
+        spared = [(i, i + len(p)) for p in phrases for i in range(len(text)) if at(p, i, False)]
+        total = 0.0
+        for term, weight in terms.items():
+            key = term.rstrip("*")
+            for i in range(len(text)):
+                if at(key, i, term.endswith("*")) and not any(s <= i and i + len(key) <= e for s, e in spared):
+                    total += weight
+        assert lexicon.weigh(text)[0] == total, text
+
+
+def test_ftrl_is_the_dense_loop(spark):
+    """Sparse updates and dot products against the same rule written over whole vectors."""
+    rnd = random.Random(41)
+    rows = [(i, " ".join(rnd.choices("good fine clear" .split() if i % 2 else "junk spam click".split(), k=6)), i % 2) for i in range(40)]
+    bits = 8
+    weights = quality.train(spark.createDataFrame(rows, "doc_id long, text string, label int"), epochs=2, bits=bits)
+    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+    hasher = quality.Hasher()
+
+    def dense(text):
+        x = np.zeros((1 << bits) + 1)
+        idx, scale = quality.features(text, hasher, bits)
+        np.add.at(x, idx, 1.0)
+        x = (x * scale).astype(np.float32).astype(float)
+        x[-1] = 1.0
+        return x
+
+    def current():
+        return np.where(np.abs(z) <= 0.02, 0.0, -(z - np.sign(z) * 0.02) / ((1.0 + np.sqrt(n)) / 0.3 + 0.1))
+
+    for _ in range(2):
+        for _, text, y in sorted(rows, key=lambda r: xxhash.xxh64_intdigest(str(r[0]))):
+            x, w = dense(text), current()
+            g = (1 / (1 + np.exp(-w @ x)) - y) * x
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / 0.3 * w
+            n += g * g
+    assert np.allclose(weights, current(), atol=1e-5) and np.abs(weights).max() > 0.1
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, label int"), weights, "doc_id long", ["doc_id"], bits).collect()}
+    assert all(abs(got[d] - 1 / (1 + np.exp(-current() @ dense(t)))) < 1e-4 for d, t, _ in rows)
+
+
 def test_ftrl_learns():
     model = quality.FTRL(bits=4)
     for _ in range(200):
@@ -339,7 +491,7 @@ def test_near_duplicates_by_shingles(spark):
     assert np.mean([got[i] == true[i] for i in got]) > 0.97
 
 
-def linked(data):
+def grouped(data):
     """The least index of each text's group, by brute force."""
     sets, parent = [neardup.shingles(t) for t in data], list(range(len(data)))
 
@@ -376,7 +528,26 @@ def test_near_duplicates_in_crowds_without_base(spark, n, edits):
     words = ["".join(rnd.choices("aeioust", k=5)) for _ in range(3000)]
     base = rnd.choices(words, k=200)
     data = [" ".join(changed(rnd, base, words, rnd.randint(*edits))) for _ in range(n)]
-    assert leaders(spark, data) == linked(data)
+    assert leaders(spark, data) == grouped(data)
+
+
+@pytest.mark.parametrize("kind", ["two", "four", "short", "nested", "chain"])
+def test_near_duplicates_in_crowds_of_600(spark, kind):
+    """Stars of two and of four changes, short templates, templates of a template, and a chain that drifts."""
+    rnd = random.Random(kind)
+    words = ["".join(rnd.choices("aeioust", k=6)) for _ in range(5000)]
+    base = rnd.choices(words, k=60 if kind == "short" else 200)
+    if kind == "nested":
+        inner = [changed(rnd, base, words, 6) for _ in range(20)]
+        rows = [changed(rnd, rnd.choice(inner), words, 2) for _ in range(600)]
+    elif kind == "chain":
+        rows = [base]
+        while len(rows) < 600:
+            rows.append(changed(rnd, rows[-1], words, 2))
+    else:
+        rows = [changed(rnd, base, words, {"two": 2, "four": 4, "short": 1}[kind]) for _ in range(600)]
+    data = [" ".join(r) for r in rows]
+    assert leaders(spark, data) == grouped(data)
 
 
 def test_near_duplicates_with_edits_in_one_place(spark):
@@ -388,14 +559,14 @@ def test_near_duplicates_with_edits_in_one_place(spark):
         more = rnd.choices(words, k=n // 6)
         at = rnd.randrange(n - n // 12)
         data += [" ".join(x) for x in (base, base + more, base[:at] + more[: n // 12] + base[at + n // 12 :])]
-    true = linked(data)
+    true = grouped(data)
     assert len(set(true)) < 200 and leaders(spark, data) == true
 
 
 def test_near_duplicates_of_the_same_words_in_other_orders(spark):
     words = [f"w{i}" for i in range(100)]
     data = [" ".join(x) for x in (words[::-1], words, words[50:] + words[:50])]
-    assert linked(data) == [0, 1, 1] and leaders(spark, data) == [0, 1, 1]
+    assert grouped(data) == [0, 1, 1] and leaders(spark, data) == [0, 1, 1]
 
 
 # 7 ----------------------------------------------------------------------------------------------------------------
@@ -496,10 +667,25 @@ def test_completion_is_optimal_on_small_cases():
     worse = 0
     for _ in range(150):
         lengths = sorted((rnd.randrange(1, 60) for _ in range(9)), reverse=True)
-        bins = packing.Completion(lengths, 60).pack()
+        search = packing.Completion(lengths, 60)
+        bins = search.pack()
+        assert search.bound() <= len(bins)
         assert sorted(i for b in bins for i in b) == list(range(9)) and all(sum(lengths[i] for i in b) <= 60 for b in bins)
         worse += len(bins) - fewest(lengths, 60)
-    assert worse <= 6
+    assert worse == 0
+
+
+def test_more_steps_never_give_more_sequences():
+    rnd = random.Random(29)
+    for low, high, n, limit in [(100, 500, 60, 1000)] * 12 + [(900, 2100, 300, 4096), (1, 4096, 400, 4096)]:
+        lengths = [rnd.randint(low, high) for _ in range(n)]
+        counts = []
+        for steps in (0, 30, 300, 3_000, 30_000):
+            search = packing.Completion(lengths, limit, steps)
+            bins = search.pack()
+            assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(lengths[i] for i in b) <= limit for b in bins)
+            counts.append(len(bins))
+        assert counts == sorted(counts, reverse=True) and counts[0] == len(search.best_fit()) and counts[-1] >= search.bound()
 
 
 # 10 ---------------------------------------------------------------------------------------------------------------
@@ -535,6 +721,16 @@ def test_top_k(spark):
     assert got_top(df.limit(0)) == {} and got_top(df.where("vec_id = 0")) == {}
 
 
+def test_top_k_repeated_ids(spark):
+    """Each row but the query's own takes part, in the operator as in its SQL."""
+    rows = [(i, [float(i % 7), 1.0, -0.5]) for i in range(40)] + [(0, [3.0, 1.0, 0.25]), (5, [9.0, 0.0, 0.0]), (5, [9.0, 0.0, 0.0]), (100, [1.0, 1.0, 1.0])]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(queries.OP10).fetchall()) and len(got) == 30
+
+
 def test_top_k_large_components(spark):
     rows = [(i, [1e5 * (i - 50), 3.0]) for i in range(0, 120)]
     assert got_top(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == brute_top(rows, 10)
