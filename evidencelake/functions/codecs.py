@@ -135,8 +135,12 @@ def xpress_huffman(data: bytes, size: int) -> bytes:
                 length = data[at] if at < len(data) else 0
                 at += 1
                 if length == 255:
-                    length = word(at) - 15
-                    at += 2
+                    length, at = word(at), at + 2
+                    if not length:
+                        length, at = word(at) | word(at + 2) << 16, at + 4
+                    length -= 15
+                    if length < 0:
+                        raise ValueError("a length under the least")
                 length += 15
             value = take(wide)
             distance, length = (1 << wide) + value, length + 3

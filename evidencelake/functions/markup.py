@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Elements without visible text; elements and attributes that run or load something.
-SILENT = {"script", "style", "head", "template", "noscript"}
+SILENT = {"script", "style"}
 BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "ul", "ol", "table", "title"}
 ACTIVE = {"script", "iframe", "object", "embed", "applet", "form", "base", "link", "meta", "frame", "frameset"}
+# Active elements whose contents go with them; of the others only the tags go.
+ENCLOSED = {"script", "object", "applet"}
 ADDRESSES = {"href", "src", "action", "background", "srcset", "poster", "data", "formaction", "xlink:href"}
 VOID = {"br", "hr", "img", "input", "col", "area", "wbr", "source", "track", "param"}
 
@@ -59,7 +61,7 @@ class _Clean(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ACTIVE:
             self.note(tag)
-            if tag not in {"base", "link", "meta", "embed"}:
+            if tag in ENCLOSED:
                 self.inside.append(tag)
             return
         if self.inside:

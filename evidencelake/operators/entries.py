@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidencelake.session import shared
+
 
 def walk(entries: DataFrame, max_depth: int = 64, descend_deleted: bool = True) -> DataFrame:
     """(node, path, depth, is_dir, deleted) of all that the roots (null parent) lead to.
 
-    A recursive query: each level is an equi-join of the frontier with ``parent``. The row limit of recursion is
-    lifted, as the depth bounds it. Without ``descend_deleted`` deleted folders are listed but not entered.
+    Each entry knows the way to its parent; joined with its parent's way, it knows the way to the one before, so
+    ways double in length and ``max_depth`` levels take log2 of it joins. Only entries that have not reached a root are
+    joined again. A folder listed several times is entered by one of its places, a root first, and folders in
+    a cycle reach no root: they end with no row instead of being walked again and again. Without ``descend_deleted``
+    deleted folders are listed but not entered. Each round is checkpointed in the shared folder.
     """
     spark = entries.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth + 2))
-    entries.select("node", "parent", "name", "is_dir", "deleted").createOrReplaceTempView("walk_entries_input")
-    enter = "" if descend_deleted else "AND NOT w.deleted"
-    return spark.sql(f"""
-        WITH RECURSIVE w AS (
-          SELECT node, concat('/', name) AS path, 1 AS depth, is_dir, deleted FROM walk_entries_input WHERE parent IS NULL
-          UNION ALL
-          SELECT e.node, concat(w.path, '/', e.name), w.depth + 1, e.is_dir, e.deleted
-          FROM w JOIN walk_entries_input e ON e.parent = w.node WHERE w.is_dir AND w.depth < {int(max_depth)} {enter}
-        ) SELECT * FROM w""")
+    shared(spark)
+    way = entries.select("node", "is_dir", "deleted", F.col("parent").alias("top"), F.concat(F.lit("/"), F.col("name")).alias("path"), F.lit(1).alias("depth"), F.lit(False).alias("barred"))
+    place = F.struct(F.col("top").isNotNull(), "top", "path")
+    way = way.withColumn("first", F.row_number().over(Window.partitionBy("node").orderBy(place)) == 1).checkpoint()
+    for _ in range(max(1, (max_depth - 1).bit_length())):
+        waiting = way.where(F.col("top").isNotNull() & (F.col("depth") < max_depth))
+        if waiting.isEmpty():
+            break
+        up = way.where(F.col("first") & F.col("is_dir")).select(
+            F.col("node").alias("top"), F.col("top").alias("up"), F.col("path").alias("up_path"), F.col("depth").alias("up_depth"), (F.col("barred") | (F.lit(not descend_deleted) & F.col("deleted"))).alias("up_barred"))
+        longer = waiting.join(up, "top").select("node", "is_dir", "deleted", F.col("up").alias("top"), F.concat("up_path", "path").alias("path"), (F.col("depth") + F.col("up_depth")).alias("depth"), (F.col("barred") | F.col("up_barred")).alias("barred"), "first")
+        way = way.where(F.col("top").isNull()).unionByName(longer.where((F.col("depth") <= max_depth) & ~F.col("barred"))).checkpoint()
+    return way.where(F.col("top").isNull()).select("node", "path", "depth", "is_dir", "deleted")
 
 
 def search_extension(name: Column) -> Column:
@@ -85,10 +92,13 @@ def presence(entries: DataFrame, patterns: dict[str, str] = PRESENCE) -> DataFra
 
 
 def resolve(wanted: DataFrame, entries: DataFrame) -> DataFrame:
-    """``wanted`` (path, node) with status found / ambiguous / not_found: by path, the node breaking ties."""
-    both = wanted.alias("w").join(entries.alias("e"), F.lower("w.path") == F.lower("e.path"), "left")
-    best = both.groupBy("w.path", "w.node").agg(
-        F.count("e.node").alias("n"), F.count_if(F.col("e.node") == F.col("w.node")).alias("exact"), F.min("e.node").alias("any_node")
-    )
-    status = F.when(F.col("exact") > 0, "found").when(F.col("n") == 1, "found").when(F.col("n") > 1, "ambiguous").otherwise("not_found")
-    return best.select("path", "node", F.when(F.col("exact") > 0, F.col("node")).when(F.col("n") == 1, F.col("any_node")).alias("resolved"), status.alias("status"))
+    """``wanted`` (path, node), each once, with status found / ambiguous / not_found: by path, the node breaking ties.
+
+    Entries are counted by path before the join, so a path that many entries share is one row."""
+    by_path = entries.groupBy(F.lower("path").alias("p")).agg(F.count("node").alias("n"), F.min("node").alias("any_node"))
+    exact = entries.select(F.lower("path").alias("q"), F.col("node").alias("exact")).distinct()
+    asked = wanted.select("path", "node").distinct().withColumn("low", F.lower("path"))
+    both = asked.join(by_path, F.col("low") == F.col("p"), "left").join(exact, (F.col("low") == F.col("q")) & (F.col("node") == F.col("exact")), "left")
+    n = F.coalesce("n", F.lit(0))
+    status = F.when(F.col("exact").isNotNull() | (n == 1), "found").when(n > 1, "ambiguous").otherwise("not_found")
+    return both.select("path", "node", F.when(F.col("exact").isNotNull(), F.col("node")).when(n == 1, F.col("any_node")).alias("resolved"), status.alias("status"))

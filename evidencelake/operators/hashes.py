@@ -26,8 +26,9 @@ def in_several(rows: DataFrame) -> DataFrame:
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
-    """(digest, items, files, nodes): groups whose files are in two or more evidence items."""
-    return in_several(rows).groupBy("digest").agg(F.count_distinct("evidence").alias("items"), F.count("*").alias("files"), F.sort_array(F.collect_list("node")).alias("nodes"))
+    """(digest, items, files, first): groups whose files are in two or more evidence items, the largest first (equal
+    sizes by digest). Their files are the rows of ``in_several``, so that no digest's files meet in one row."""
+    return in_several(rows).groupBy("digest").agg(F.count_distinct("evidence").alias("items"), F.count("*").alias("files"), F.min("node").alias("first")).orderBy(F.desc("files"), "digest")
 
 
 def unpivot(hashed: DataFrame) -> DataFrame:

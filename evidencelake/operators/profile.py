@@ -129,9 +129,13 @@ def similar_files(hashed: DataFrame, threshold: int = 60, limit: int | None = 50
     """
     block = F.split_part("fuzzy", F.lit(":"), F.lit(1)).cast("long")
     parts = [F.struct((block * k).alias("block"), _sevens(_short(F.split_part("fuzzy", F.lit(":"), F.lit(1 + k)))).alias("grams")) for k in (1, 2)]
-    keyed = hashed.where("fuzzy is not null").select("node", "fuzzy", "sha256", F.inline(F.array(*parts))).select("node", "fuzzy", "sha256", "block", F.explode(F.array_distinct("grams")).alias("gram"))
+    content = hashed.where("fuzzy is not null").groupBy("sha256").agg(F.first("fuzzy").alias("fuzzy"))  # equal files meet once
+    keyed = content.select("fuzzy", "sha256", F.inline(F.array(*parts))).select("fuzzy", "sha256", "block", F.explode(F.array_distinct("grams")).alias("gram"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.sha256") != F.col("b.sha256")))
-    pairs = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.fuzzy").alias("fa"), F.col("b.fuzzy").alias("fb")).distinct()
-    scored = pairs.withColumn("score", fuzzy_compare(F.col("fa"), F.col("fb"))).where(F.col("score") >= threshold).select("a", "b", "score")
-    return scored.orderBy(F.desc("score"), "a", "b").limit(limit) if limit else scored
+    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.sha256") < F.col("b.sha256")))
+    pairs = met.select(F.col("a.sha256").alias("ka"), F.col("b.sha256").alias("kb"), F.col("a.fuzzy").alias("fa"), F.col("b.fuzzy").alias("fb")).distinct()
+    scored = pairs.withColumn("score", fuzzy_compare(F.col("fa"), F.col("fb"))).where(F.col("score") >= threshold).select("ka", "kb", "score")
+    files = [hashed.select(F.col("sha256").alias(f"k{e}"), F.col("node").alias(e)) for e in "xy"]
+    found = scored.join(files[0].withColumnRenamed("kx", "ka"), "ka").join(files[1].withColumnRenamed("ky", "kb"), "kb")
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    return found.orderBy(F.desc("score"), "a", "b").limit(limit) if limit else found

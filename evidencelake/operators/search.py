@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,8 +64,24 @@ def printable_runs(text: Column, least: int = 4) -> Column:
     return F.regexp_extract_all(text, F.lit("([ -~]{%d,})" % least), F.lit(1))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Accented Latin letters and the letters without their marks; marks that stand alone come last and have none."""
+    found = {chr(c): parts[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(parts := unicodedata.normalize("NFD", chr(c).lower())) > 1}
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+_MARKED, _PLAIN = _plain_letters()
+_WORD = r"[\p{L}\p{N}]+"
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+    """Runs of letters and digits of any script, lower case, without accents."""
+    return F.regexp_extract_all(F.translate(F.lower(text), _MARKED, _PLAIN), F.lit(f"({_WORD})"), F.lit(1))
+
+
+def token(word: str) -> str:
+    """A word of a query as ``tokens`` has it."""
+    return "".join(c for c in word.lower().translate(str.maketrans(_MARKED[: len(_PLAIN)], _PLAIN, _MARKED[len(_PLAIN) :])) if c.isalnum())
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -87,7 +104,7 @@ def bm25(docs: DataFrame, terms: list[str], every: bool, limit: int | None = Non
     Only the postings of the terms leave the scan: each document counts its own few terms where it is read, so the
     shuffle carries a number for each document at most, and statistics are one small row.
     """
-    wanted = [re.sub(r"[^a-z0-9]", "", t.lower()) for t in terms]
+    wanted = [token(t) for t in terms]
     words = tokens(F.col("body"))
     counted = docs.select("doc", F.size(words).alias("length"), *(F.size(F.filter(words, _is(t))).alias(f"tf{i}") for i, t in enumerate(wanted)))
     total = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted)))).first()

@@ -27,9 +27,11 @@ def events(entries: DataFrame, include_accessed: bool = True, start: str | None
     return df.where(F.col("time") <= end) if end else df
 
 
-def anomalies(created: Column, modified: Column, fn_created: Column) -> Column:
-    """Array of (kind, severity): what a set clock leaves behind."""
-    whole = (F.unix_micros(created) % 1_000_000 == 0) & (F.unix_micros(fn_created) % 1_000_000 != 0)
+def anomalies(created: Column, modified: Column, fn_created: Column, fn_modified: Column) -> Column:
+    """Array of (kind, severity): what a set clock leaves behind. Both times on a whole second, while one of the file
+    name's is not, is one such trace."""
+    part = lambda c: F.unix_micros(c) % 1_000_000
+    whole = (part(created) == 0) & (part(modified) == 0) & (F.coalesce(part(fn_created) != 0, F.lit(False)) | F.coalesce(part(fn_modified) != 0, F.lit(False)))
     found = [("si_before_fn", "high", created < fn_created), ("created_after_modified", "low", created > modified), ("second_granularity", "medium", whole)]
     return F.filter(F.array(*(F.when(test, F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for k, s, test in found)), lambda x: x.isNotNull())
 

@@ -63,28 +63,32 @@ def attack_catalogue(t):
     return case.stix_techniques(t("part").select(value.alias("value")))
 
 
-_CHAIN = """l AS (SELECT user_id % 7 AS chain, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at", CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'e' || user_id END AS examiner, event_type AS action, props AS detail FROM events WHERE event_id < 350)"""
+_CHAIN = """l AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at", CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'e' || user_id END AS examiner, event_type AS action, props AS detail FROM events)"""
 _PAY = '''concat_ws('|', {p}, l.seq::VARCHAR, l."at", coalesce(l.examiner, 'None'), l.action, l.detail)'''
 
 
 @query(f"""WITH RECURSIVE {_CHAIN}, c AS (SELECT l.*, '' AS prev_hash, sha256({_PAY.format(p="''")}) AS hash FROM l WHERE seq = 1
     UNION ALL SELECT l.*, c.hash, sha256({_PAY.format(p='c.hash')}) FROM c JOIN l ON l.chain = c.chain AND l.seq = c.seq + 1),
-  x AS (SELECT chain, seq, "at", examiner, action, CASE WHEN chain = 2 AND seq = 11 THEN 'edited' ELSE detail END AS detail, prev_hash, hash FROM c WHERE NOT (chain = 3 AND seq = 6)),
+  x AS (SELECT chain, seq, "at", examiner, action, CASE WHEN chain % 5 = 2 AND seq = 3 THEN 'edited' ELSE detail END AS detail, prev_hash, hash FROM c WHERE NOT (chain % 5 = 3 AND seq = 2)),
   v AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY chain ORDER BY seq), '') AS before FROM x),
   b AS (SELECT *, prev_hash <> before OR sha256({_PAY.format(p='before').replace('l.', '')}) <> hash AS bad FROM v)
   SELECT chain, count(*) AS rows, count(*) FILTER (WHERE bad) = 0 AS ok, min(seq) FILTER (WHERE bad) AS broken_at FROM b GROUP BY chain""")
 def audit_verify(t):
-    """Seven chains of about fifty rows each, written one after another as an audit log is; one row edited, one removed."""
-    spark = t.spark
-    t("events").where("event_id < 350").createOrReplaceTempView("audit_events")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "400")
-    pay = "concat_ws('|', {p}, cast(l.seq AS string), l.at, coalesce(l.examiner, 'None'), l.action, l.detail)"
-    log = spark.sql(f"""WITH RECURSIVE l AS (SELECT user_id % 7 AS chain, cast(row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS bigint) AS seq, date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS at,
-        CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('e', user_id) END AS examiner, event_type AS action, props AS detail FROM audit_events),
-      c AS (SELECT l.*, '' AS prev_hash, sha2({pay.format(p="''")}, 256) AS hash FROM l WHERE seq = 1
-        UNION ALL SELECT l.*, c.hash, sha2({pay.format(p='c.hash')}, 256) FROM c JOIN l ON l.chain = c.chain AND l.seq = c.seq + 1)
-      SELECT chain, seq, at, examiner, action, CASE WHEN chain = 2 AND seq = 11 THEN 'edited' ELSE detail END AS detail, prev_hash, hash FROM c WHERE NOT (chain = 3 AND seq = 6)""")
-    return case.audit_verify(log, ["chain"])
+    """A chain of each user's events, written as an audit log is; in a fifth of them a row is edited, in a fifth one removed."""
+    row = F.struct("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("e"), F.col("user_id").cast("string"))).alias("examiner"), F.col("event_type").alias("action"), F.col("props").alias("detail"))
+    ordered = t("events").groupBy(F.col("user_id").alias("chain")).agg(F.sort_array(F.collect_list(row)).alias("log"))
+    none = F.lit("None")
+
+    def written(done, x):
+        before, seq = F.coalesce(F.try_element_at(done, F.lit(-1))["hash"], F.lit("")), F.size(done) + 1
+        parts = [seq.cast("string"), *(F.coalesce(x[c], none) for c in ("at", "examiner", "action", "detail"))]
+        own = F.struct(seq.cast("long").alias("seq"), x["at"].alias("at"), x["examiner"].alias("examiner"), x["action"].alias("action"), x["detail"].alias("detail"), before.alias("prev_hash"), F.sha2(F.concat_ws("|", before, *parts), 256).alias("hash"))
+        return F.concat(done, F.array(own))
+
+    empty = F.array().cast("array<struct<seq:bigint,at:string,examiner:string,action:string,detail:string,prev_hash:string,hash:string>>")
+    log = ordered.select("chain", F.inline(F.aggregate("log", empty, written)))
+    edited = F.when((F.col("chain") % 5 == 2) & (F.col("seq") == 3), "edited").otherwise(F.col("detail"))
+    return case.audit_verify(log.withColumn("detail", edited).where(~((F.col("chain") % 5 == 3) & (F.col("seq") == 2))), ["chain"])
 
 
 _USN = """u AS (SELECT event_id AS usn, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS name, user_id AS mft, 'k' || (json_extract_string(props, '$.k')::INT // 25) AS reason, ts AS time FROM events)"""

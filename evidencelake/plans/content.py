@@ -50,7 +50,7 @@ def extract_text(t):
     return _docs(t).select("node", F.size(runs).alias("runs"), F.md5(F.array_join(runs, "\n")).alias("digest"))
 
 
-_WORDS = "w AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents)"
+_WORDS = "w AS (SELECT doc_id AS doc, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS words FROM documents)"
 
 
 def _bm25_sql(terms: list[str], every: bool) -> str:
@@ -81,10 +81,14 @@ def fts_phrase(t):
     return search.phrase(search.postings(_bodies(t)).where(F.col("term").isin("of", "the")), ["of", "the"])
 
 
-@query(f"WITH {_WORDS}, u AS (SELECT doc, unnest(words) AS term FROM w) SELECT term, count(DISTINCT doc) AS docs, count(*) AS uses FROM u GROUP BY term HAVING count(*) > 50")
+@query("""WITH d AS (SELECT 'file ' || doc_id AS doc, text AS body FROM documents UNION ALL SELECT 'usn ' || conv_id || ' ' || turn, text FROM conversations UNION ALL SELECT 'raw ' || page_id, html FROM pages),
+  u AS (SELECT doc, unnest(regexp_extract_all(strip_accents(lower(body)), '[\\p{L}\\p{N}]+')) AS term FROM d) SELECT term, count(DISTINCT doc) AS docs, count(*) AS uses FROM u GROUP BY term""")
 def index_build(t):
-    """The index's terms; each document's postings are counted before the shuffle."""
-    return search.postings(_bodies(t)).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").cast("long").alias("uses")).where("uses > 50")
+    """Every term of the index over the three kinds; each document's postings are counted before the shuffle."""
+    said = lambda kind, *keys: F.concat_ws(" ", F.lit(kind), *(F.col(k).cast("string") for k in keys)).alias("doc")
+    bodies = t("documents").select(said("file", "doc_id"), F.col("text").alias("body")).unionByName(t("conversations").select(said("usn", "conv_id", "turn"), F.col("text").alias("body")))
+    bodies = bodies.unionByName(t("pages").select(said("raw", "page_id"), F.col("html").alias("body")))
+    return search.postings(bodies).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").cast("long").alias("uses"))
 
 
 @query("""WITH d AS (SELECT 'file' AS kind, text AS body FROM documents UNION ALL SELECT 'usn', text FROM conversations UNION ALL SELECT 'raw', html FROM pages)
@@ -131,18 +135,23 @@ _PAIR = """x AS (SELECT p_partkey AS k, CASE p_size % 3 WHEN 0 THEN 48 WHEN 1 TH
 _SQL_SCORE = "CASE WHEN list_has_any(list_transform(range(1, length({x}) - 5), lambda i: substr({x}, i, 7)), list_transform(range(1, length({y}) - 5), lambda i: substr({y}, i, 7))) THEN least(100 - (levenshtein({x}, {y}) * 64 // (length({x}) + length({y}))) * 100 // 64, {b} // 3 * least(length({x}), length({y}))) ELSE 0 END"
 
 
-@query(f"""WITH {_PAIR}, r AS (SELECT k, a, a2, c, c2, b1, b2 FROM s),
-  f AS (SELECT k, CASE WHEN b1 = b2 AND a = c THEN 100 WHEN b1 = b2 THEN greatest({_SQL_SCORE.format(x='a', y='c', b='b1')}, {_SQL_SCORE.format(x='a2', y='c2', b='(b1 * 2)')}) WHEN b2 = b1 * 2 THEN {_SQL_SCORE.format(x='a2', y='c', b='b2')} ELSE 0 END AS score FROM r
-    WHERE NOT regexp_matches(a, '0000|1111|2222|3333|4444|5555|6666|7777|8888|9999|aaaa|bbbb|cccc|dddd|eeee|ffff') AND NOT regexp_matches(c, '0000|1111|2222|3333|4444|5555|6666|7777|8888|9999|aaaa|bbbb|cccc|dddd|eeee|ffff'))
+def _run_sql(x: str) -> str:
+    """Runs of over three equal hex digits cut to three."""
+    for digit in "0123456789abcdef":
+        x = f"regexp_replace({x}, '{digit}{{4,}}', '{digit * 3}', 'g')"
+    return x
+
+
+@query(f"""WITH {_PAIR}, r AS (SELECT k, {_run_sql('a')} AS a, {_run_sql('a2')} AS a2, {_run_sql('c')} AS c, {_run_sql('c2')} AS c2, b1, b2 FROM s),
+  f AS (SELECT k, CASE WHEN b1 = b2 AND a = c THEN 100 WHEN b1 = b2 THEN greatest({_SQL_SCORE.format(x='a', y='c', b='b1')}, {_SQL_SCORE.format(x='a2', y='c2', b='(b1 * 2)')}) WHEN b2 = b1 * 2 THEN {_SQL_SCORE.format(x='a2', y='c', b='b2')} ELSE 0 END AS score FROM r)
   SELECT k, score::INT AS score FROM f""")
 def fuzzy_compare(t):
-    """Signatures made of digests; runs of four are left out of the SQL's reach."""
+    """Signatures made of digests."""
     a, c = F.md5("p_name"), F.concat(F.substring(F.md5("p_name"), 1, 20), F.md5("p_brand"))
     block = F.when(F.col("p_size") % 3 == 0, 48).when(F.col("p_size") % 3 == 1, 96).otherwise(384)
     x = F.concat_ws(":", block.cast("string"), a, F.substring(a, 1, 12))
     y = F.concat_ws(":", F.lit("96"), c, F.substring(c, 1, 12))
-    plain = ~a.rlike(r"(.)\1{3}") & ~c.rlike(r"(.)\1{3}")
-    return t("part").where(plain).select(F.col("p_partkey").alias("k"), profile.fuzzy_compare(x, y).alias("score"))
+    return t("part").select(F.col("p_partkey").alias("k"), profile.fuzzy_compare(x, y).alias("score"))
 
 
 @query()
@@ -155,9 +164,15 @@ def sanitise_html(t):
     return markup.sanitised(t("pages").select(F.col("page_id").alias("node"), "html"))
 
 
-@query("""SELECT doc_id AS node, unnest(regexp_extract_all(text, '\\b(?:[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[02-9ac-hj-np-z]{11,71}|0x[0-9a-fA-F]{40})\\b')) AS candidate FROM documents""")
+_ADDRESSES = "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2 bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4 0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed"
+
+
+@query(f"""SELECT doc_id AS node, unnest(regexp_extract_all(text, '\\b(?:[13][1-9A-HJ-NP-Za-km-z]{{25,34}}|bc1[02-9ac-hj-np-z]{{11,71}}|0x[0-9a-fA-F]{{40}})\\b')) AS candidate
+  FROM (SELECT doc_id, text || CASE WHEN lang = 'en' THEN ' {_ADDRESSES}' ELSE '' END AS text FROM documents)""")
 def address_candidates(t):
-    return wallets.candidates(_docs(t))
+    """Texts in English are followed by published examples, as the tables hold none."""
+    more = F.when(F.col("lang") == "en", " " + _ADDRESSES).otherwise("")
+    return wallets.candidates(t("documents").select(F.col("doc_id").alias("node"), F.concat("text", more).alias("text")))
 
 
 @query()

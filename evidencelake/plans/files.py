@@ -85,15 +85,16 @@ def listing_counters(t):
     )
 
 
-@query("""WITH w AS (SELECT lower(p_name) AS path, (p_partkey % 50)::BIGINT AS node FROM part WHERE p_partkey < 300),
-  e AS (SELECT p_name AS path, p_partkey AS node FROM part WHERE p_partkey % 5 < 2)
-  SELECT w.path, w.node, CASE WHEN count(*) FILTER (WHERE e.node = w.node) > 0 THEN w.node WHEN count(e.node) = 1 THEN min(e.node) END AS resolved,
-  CASE WHEN count(*) FILTER (WHERE e.node = w.node) > 0 OR count(e.node) = 1 THEN 'found' WHEN count(e.node) > 1 THEN 'ambiguous' ELSE 'not_found' END AS status
-  FROM (SELECT DISTINCT * FROM w) w LEFT JOIN e ON lower(w.path) = lower(e.path) GROUP BY w.path, w.node""")
+@query("""WITH w AS (SELECT lower(p_name) || CASE WHEN p_size = 7 THEN ' old' ELSE '' END AS path, p_partkey % 50 AS node FROM part),
+  e AS (SELECT lower(p_name) AS path, count(*) AS n, min(p_partkey) AS any_node FROM part GROUP BY 1), x AS (SELECT DISTINCT lower(p_name) AS path, p_partkey AS node FROM part)
+  SELECT w.path, w.node, CASE WHEN x.node IS NOT NULL THEN w.node WHEN e.n = 1 THEN e.any_node END AS resolved,
+  CASE WHEN x.node IS NOT NULL OR e.n = 1 THEN 'found' WHEN e.n > 1 THEN 'ambiguous' ELSE 'not_found' END AS status
+  FROM (SELECT DISTINCT * FROM w) w LEFT JOIN e ON w.path = e.path LEFT JOIN x ON w.path = x.path AND w.node = x.node""")
 def resolve_paths(t):
+    """The names of all parts against all parts; those of one size carry an ending that no part has."""
     p = t("part")
-    wanted = p.where("p_partkey < 300").select(F.lower("p_name").alias("path"), (F.col("p_partkey") % 50).alias("node")).distinct()
-    return entries.resolve(wanted, p.where("p_partkey % 5 < 2").select(F.col("p_name").alias("path"), F.col("p_partkey").alias("node")))
+    wanted = p.select(F.concat(F.lower("p_name"), F.when(F.col("p_size") == 7, " old").otherwise("")).alias("path"), (F.col("p_partkey") % 50).alias("node"))
+    return entries.resolve(wanted, p.select(F.col("p_name").alias("path"), F.col("p_partkey").alias("node")))
 
 
 @query("SELECT doc_id AS node, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, octet_length(encode(text)) AS read_bytes FROM documents")
@@ -104,11 +105,11 @@ def hash_files(t):
 _DIGEST = "d AS (SELECT doc_id AS node, source AS evidence, sha256(text) AS digest FROM documents)"
 
 
-@query(f"""WITH {_DIGEST}, g AS (SELECT digest, count(DISTINCT evidence) AS items, count(*) AS files, list_sort(list(node)) AS nodes FROM d WHERE digest <> '' GROUP BY digest HAVING count(DISTINCT evidence) > 1)
-  SELECT digest, items, files, array_to_string(nodes, ',') AS nodes FROM g""")
+@query(f"""WITH {_DIGEST}, g AS (SELECT digest, count(DISTINCT evidence) AS items, count(*) AS files, min(node) AS first FROM d WHERE digest <> '' GROUP BY digest HAVING count(DISTINCT evidence) > 1)
+  SELECT * FROM g""")
 def duplicate_files(t):
     rows = t("documents").select(F.col("doc_id").alias("node"), F.col("source").alias("evidence"), F.sha2("text", 256).alias("digest"))
-    return hashes.duplicates(rows).withColumn("nodes", F.array_join("nodes", ","))
+    return hashes.duplicates(rows)
 
 
 @query(f"""WITH {_DIGEST}, m AS (SELECT digest FROM d GROUP BY digest HAVING count(DISTINCT evidence) > 1) SELECT d.node, d.evidence, d.digest FROM d SEMI JOIN m USING (digest)""")

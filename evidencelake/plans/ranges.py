@@ -66,10 +66,10 @@ def carve_dedupe(t):
     return kept.groupBy("v").agg(F.count("*").alias("kept"), F.sum("start").cast("long").alias("starts"), F.count_if("bounded").alias("bounded"))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_suppkey AS v, l_orderkey AS seq FROM lineitem WHERE l_suppkey % 2 = 0), f AS (SELECT *, min(seq) OVER (PARTITION BY v) AS first FROM s),
+@query("""WITH s AS (SELECT DISTINCT l_suppkey AS v, l_orderkey AS seq FROM lineitem), f AS (SELECT *, min(seq) OVER (PARTITION BY v) AS first FROM s),
   n AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY seq) AS r FROM f) SELECT v, seq FROM n WHERE seq - r + 1 = first""")
 def consecutive_runs(t):
-    s = t("lineitem").where("l_suppkey % 2 = 0").select(F.col("l_suppkey").alias("v"), F.col("l_orderkey").alias("seq")).distinct()
+    s = t("lineitem").select(F.col("l_suppkey").alias("v"), F.col("l_orderkey").alias("seq")).distinct()
     first = s.groupBy("v").agg(F.min("seq").alias("first"))
     return intervals.consecutive(s.join(first, "v"), ["v"], "seq", "first").select("v", "seq")
 

@@ -58,21 +58,22 @@ def timeline_summary(t):
     return timeline.summary(_events(t))
 
 
-_SI = """x AS (SELECT l_orderkey AS k, l_linenumber AS n, l_shipdate AS modified, o_orderdate AS created, o_orderdate + to_days(l_linenumber - 3) + to_milliseconds(l_orderkey % 3) AS fn_created
+_SI = """x AS (SELECT l_orderkey AS k, l_linenumber AS n, l_shipdate AS modified, o_orderdate AS created, o_orderdate + to_days(l_linenumber - 3) + to_milliseconds(l_orderkey % 3) AS fn_created, l_shipdate + to_milliseconds(l_orderkey % 2 * 5) AS fn_modified
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 _FOUND = """f AS (SELECT k, n, created, modified, CASE WHEN created < fn_created THEN 'si_before_fn' END AS a, CASE WHEN created > modified THEN 'created_after_modified' END AS b,
-  CASE WHEN epoch_us(created) % 1000000 = 0 AND epoch_us(fn_created) % 1000000 <> 0 THEN 'second_granularity' END AS c FROM x)"""
+  CASE WHEN epoch_us(created) % 1000000 = 0 AND epoch_us(modified) % 1000000 = 0 AND (epoch_us(fn_created) % 1000000 <> 0 OR epoch_us(fn_modified) % 1000000 <> 0) THEN 'second_granularity' END AS c FROM x)"""
 
 
 def _stamped(t):
     both = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_shipdate").cast("timestamp").alias("modified")).join(
         t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("created")), "k")
+    both = both.withColumn("fn_modified", F.col("modified") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("k") % 2 * 5).cast("decimal(18,6)") / 1000))
     return both.withColumn("fn_created", F.col("created") + F.make_dt_interval(F.col("n") - 3, F.lit(0), F.lit(0), (F.col("k") % 3).cast("decimal(18,6)") / 1000))
 
 
 @query(f"WITH {_SI}, {_FOUND} SELECT k, n, concat_ws(',', a, b, c) AS kinds, count(*) AS rows FROM f WHERE coalesce(a, b, c) IS NOT NULL GROUP BY ALL")
 def timestamp_anomalies(t):
-    df = _stamped(t).withColumn("found", timeline.anomalies(F.col("created"), F.col("modified"), F.col("fn_created")))
+    df = _stamped(t).withColumn("found", timeline.anomalies(F.col("created"), F.col("modified"), F.col("fn_created"), F.col("fn_modified")))
     return df.where(F.size("found") > 0).groupBy("k", "n", F.array_join("found.kind", ",").alias("kinds")).agg(F.count("*").alias("rows"))
 
 

@@ -24,3 +24,14 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared(spark: SparkSession) -> None:
+    """Makes sure that checkpoints have the folder that all executors share; only in local mode is one made up."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")

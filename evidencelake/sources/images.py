@@ -7,6 +7,7 @@ its own chunks, from any store that pyarrow's file systems know. A damaged chunk
 
 from __future__ import annotations
 
+import posixpath
 import re
 import struct
 import zlib
@@ -66,6 +67,15 @@ def segments(uri: str) -> list[str]:
     while where.get_file_info(located(f"{stem}.{name(number)}")[1]).type == fs.FileType.File:
         out.append(f"{stem}.{name(number)}")
         number += 1
+    folder, last = posixpath.split(located(f"{stem}.x")[1])
+    pattern = r"\d{3}" if found[1].isdigit() else r"[A-Za-z][0-9A-Za-z]{2}"
+    own = re.compile(re.escape(last[:-1]) + f"({pattern})")
+    there = {m[1] for f in where.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True)) if (m := own.fullmatch(f.base_name))}
+    if not found[1].isdigit():
+        there = {x for x in there if x[0].upper() >= found[1][0].upper() and x[0].isupper() == found[1][0].isupper() and (x[1:].isdigit() or x[1:].isalpha())}
+    known = {x[-3:] for x in out}
+    if later := sorted(there - known - {f"{n:03d}" for n in range(int(found[1]))} if found[1].isdigit() else there - known):
+        raise ValueError(f"piece {name(number)} of {stem} is missing, though {later[0]} is there")
     return out
 
 

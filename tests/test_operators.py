@@ -43,6 +43,8 @@ def test_mnemonic_checksum():
 
 def test_markup():
     assert markup.visible_text("<style>a</style><p>Hello <b>you</b></p><script>x</script>") == "Hello you"
+    assert markup.visible_text("<html><head><title>t</title><body><p>Hello world</p>") == "t\nHello world"
+    assert markup.sanitise("a<form>b<iframe>c") == ("abc", {"form": 1, "iframe": 1})
     html, removed = markup.sanitise('<p onclick="x()">a<iframe src="http://b">c</iframe><img src="https://e/t.png"><a href="#k">d</a></p>')
     assert "onclick" not in html and "iframe" not in html and "https" not in html and 'href="#k"' in html
     assert removed == {"event handler": 1, "iframe": 1, "remote address": 1}
@@ -72,8 +74,8 @@ def test_contained_hits(spark):
 
 def test_duplicates(spark):
     rows = [(1, "A", "x"), (2, "B", "x"), (3, "A", "y"), (4, "A", "y"), (5, "A", None), (6, "B", None), (7, "A", ""), (8, "B", ""), (9, "C", "x")]
-    got = [(r.digest, r.items, r.files, r.nodes) for r in hashes.duplicates(spark.createDataFrame(rows, "node long, evidence string, digest string")).collect()]
-    assert got == [("x", 3, 3, [1, 2, 9])]
+    got = [(r.digest, r.items, r.files, r.first) for r in hashes.duplicates(spark.createDataFrame(rows, "node long, evidence string, digest string")).collect()]
+    assert got == [("x", 3, 3, 1)]
 
 
 def test_precedence_and_algorithm(spark):
@@ -149,3 +151,38 @@ def test_registry_report(spark):
     assert got == {("run", "app"), ("user assist", "Hello")}
     bags = spark.createDataFrame([(1, None, "Desktop"), (2, 1, "C:"), (3, 2, "x")], "node long, parent long, name string")
     assert {r.path for r in volumes.shellbag_paths(bags).collect()} == {"Desktop", "Desktop\\C:", "Desktop\\C:\\x"}
+
+
+WALK = "node string, parent string, name string, is_dir boolean, deleted boolean"
+
+
+def test_walk_of_a_deep_tree_with_cycles(spark):
+    rows = [(str(i), str(i - 1) if i else None, f"d{i}", True, i == 50) for i in range(70)]
+    rows += [("x", "y", "x", True, False), ("y", "x", "y", True, False), ("0", "9", "again", True, False), ("f", "3", "f", False, False), ("g", "f", "under a file", False, False)]
+    df = spark.createDataFrame(rows, WALK)
+    got = {(r.node, r.depth): r.path for r in entries.walk(df).collect()}
+    for i in range(64):
+        assert got[str(i), i + 1] == "/" + "/".join(f"d{k}" for k in range(i + 1))
+    assert got["0", 11] == got["9", 10] + "/again" and got["f", 5].endswith("/d3/f") and len(got) == 66
+    live = {r.node for r in entries.walk(df, descend_deleted=False).collect()}
+    assert live == {str(i) for i in range(51)} | {"f"} and entries.walk(df.limit(0)).count() == 0
+
+
+def test_resolve(spark):
+    have = spark.createDataFrame([("/A", 1), ("/a", 2), ("/b", 3), ("/b", 3)], "path string, node long")
+    wanted = spark.createDataFrame([("/a", 2), ("/A", 9), ("/b", 7), ("/c", 1), ("/c", 1), (None, 1)], "path string, node long")
+    got = sorted((str(r.path), r.node, r.resolved, r.status) for r in entries.resolve(wanted, have).collect())
+    assert got == [("/A", 9, None, "ambiguous"), ("/a", 2, 2, "found"), ("/b", 7, None, "ambiguous"), ("/c", 1, None, "not_found"), ("None", 1, None, "not_found")]
+
+
+def test_tokens_of_other_scripts(spark):
+    df = spark.createDataFrame([("Élan vital — naïve Straße, привет 日本 x2 e\u0301t\u00e9",)], "t string")
+    found = df.select(search.tokens(F.col("t"))).first()[0]
+    assert found == ["elan", "vital", "naive", "straße", "привет", "日本", "x2", "ete"] and search.token("Naïve!") == "naive"
+
+
+def test_second_granularity_needs_both_times(spark):
+    df = spark.createDataFrame([(0, 0, 5, 0), (0, 1, 5, 0), (0, 0, 0, 7), (0, 0, 0, 0), (3, 0, 5, 5)], "a long, b long, c long, d long")
+    at = [F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col(c)) for c in "abcd"]
+    got = [any(x.kind == "second_granularity" for x in r[0]) for r in df.select(timeline.anomalies(*at)).collect()]
+    assert got == [True, False, True, False, False]

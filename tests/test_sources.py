@@ -390,3 +390,16 @@ def test_evtx(spark):
     row = artefacts.rows_of(files(spark, evtx()), "evtx").first()
     assert row.unsupported is None and row.problem is None
     assert (row.record_id, row.event_id, row.computer, row.fields["Event/EventData/who"]) == (7, "4624", "HOST", "ann")
+
+
+def test_a_missing_piece_is_an_error(tmp_path):
+    for n in (1, 2, 4):
+        (tmp_path / f"s.{n:03d}").write_bytes(b"x" * 1000)
+    with pytest.raises(ValueError, match="003"):
+        images.segments(str(tmp_path / "s.001"))
+    (tmp_path / "s.003").write_bytes(b"x" * 1000)
+    assert len(images.segments(str(tmp_path / "s.001"))) == 4
+    for n in ("E01", "E03"):
+        (tmp_path / f"t.{n}").write_bytes(b"x")
+    with pytest.raises(ValueError, match="E02"):
+        images.segments(str(tmp_path / "t.E01"))
