@@ -1,6 +1,7 @@
 """The training-data operators against brute force, libraries and round trips, on odd rows and on the small tables."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -438,6 +439,20 @@ def test_golay_code_is_perfect():
     assert len(np.unique(index)) == 4096 and set(np.bincount(index).tolist()) == {2048}
 
 
+@pytest.mark.parametrize("last", [0, 40, 250_000])
+def test_components_contracted_and_at_once(spark, last):
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(400).tolist()
+    pairs = [(ids[0], x) for x in ids[1:90]] + list(itertools.pairwise(ids[100:160])) + [(int(a), int(b)) for a, b in rng.choice(ids[200:], (150, 2))]
+    root = {x: x for pair in pairs for x in pair}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long"), last=last).collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert got == {x: root[x] for x in linked}
+
+
 def test_components_of_a_path(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")
