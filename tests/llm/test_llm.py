@@ -565,6 +565,21 @@ def test_near_duplicates_in_crowds_of_600(spark, kind):
     assert leaders(spark, data) == grouped(data)
 
 
+@pytest.mark.parametrize("kind", ["four", "nested"])
+def test_near_duplicates_in_crowds_over_many_tasks(spark, monkeypatch, kind):
+    """Shingles that are in most texts, over the rows that one task meets: salted, and in blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 24)
+    test_near_duplicates_in_crowds_of_600(spark, kind)
+
+
+def test_salted_shingles_keep_their_rows():
+    often, ways = np.array([5, 9], np.uint64), np.array([1, 7])
+    keys, split = neardup.salted(np.array([3, 5, 9], np.uint64), -4, often, ways)
+    assert split.tolist() == [False, False, True] and keys[:2].tolist() == [3, 5] and keys[2] != 9
+    found = {int(neardup.salted(np.array([9], np.uint64), n, often, ways)[0][0]) for n in range(100)}
+    assert len(found) == 7
+
+
 def test_near_duplicates_with_edits_in_one_place(spark):
     rnd = random.Random(5)
     words = ["".join(rnd.choices("aeioust", k=4)) for _ in range(2000)]
