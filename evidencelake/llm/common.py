@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Arrow batches stay small, so that a Python worker's memory doesn't grow with the row count or the text length.
-ARROW_ROWS, ARROW_BYTES = "2000", "16777216"
+ARROW_ROWS, ARROW_BYTES = "2000", "4194304"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
