@@ -7,7 +7,9 @@ where its whole group has none, makes a response; rows that repeat both id and p
 Extra columns are not read; an empty table writes no archive.
 
 Tasks name their files at random and say so in rows; only files that a finished task names are read, so a task
-that is run again, or an executor that is lost, leaves at most a file that nobody reads.
+that is run again, or an executor that is lost, leaves at most a file that nobody reads. The rows, one an archive, are
+gathered in one file, and archives are read in as many tasks as their bytes ask for: with each file that Spark writes, an
+executor starts processes of its own, so small tables in many partitions shouldn't become many files.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from evidencelake.llm.common import cut, map_rows, shared_dir
 
 #: Payload bytes of an archive, of the sample its dictionary is built from, and of the dictionary.
 ARCHIVE, SAMPLE, DICTIONARY, LEVEL, LEAST = 24 << 20, 1 << 20, 48 << 10, 3, 100
+#: Bytes of records that a task reads, if archives are smaller than that.
+READ = 8 << 20
 # Fixed value: the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 _BREAKS = re.compile(r"[\x00-\x20\x7f]")
@@ -130,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
         if held:
             yield flush()
 
-    return cut(map_rows(known.select("page_id", "url", "html", "size", "digest", "refers"), "path string, n_records long, raw_bytes long, stored_bytes long", write, out_rows=1))
+    return cut(map_rows(known.select("page_id", "url", "html", "size", "digest", "refers"), "path string, n_records long, raw_bytes long, stored_bytes long", write, out_rows=1).repartition(1))
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -152,6 +156,6 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"a payload of {path} is not what its header says")
                 yield (number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], number(fields.get("WARC-Refers-To")), size, digest)
 
-    n = max(1, manifest.count())
-    files = manifest.select("path").repartition(n)
+    n, raw = manifest.agg(F.count("*"), F.coalesce(F.sum("raw_bytes"), F.lit(0))).first()
+    files = manifest.select("path").repartition(max(1, min(n, -(-raw // READ))))
     return map_rows(files, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string", read)

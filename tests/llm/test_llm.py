@@ -621,6 +621,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_warc_of_many_partitions_is_few_files(spark, tmp_path):
+    """A small table dealt over many tasks: one file names the archives, and tasks to read them go by bytes."""
+    df = spark.range(0, 300, 1, 40).selectExpr("id AS page_id", "'u' AS url", "repeat(concat('page ', id % 200), 30) AS html")
+    manifest = warc.write_archives(df, str(tmp_path))
+    assert manifest.count() > 20 and len(manifest.inputFiles()) == 1
+    back = warc.read_archives(manifest)
+    assert back.rdd.getNumPartitions() == 1
+    got = {r.page_id: (r.record_type, r.refers_to) for r in back.collect()}
+    assert got == {i: ("response", None) if i < 200 else ("revisit", i - 200) for i in range(300)}
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------
 
 
