@@ -1,14 +1,16 @@
-"""Near-duplicate groups by SimHash: Golay keys join close fingerprints, and an exact prefix filter finds all other links.
-
-Documents alike in ``SIMILAR`` of their five-word shingles or more are linked; linked documents make groups. Texts
-with the same words in the same order are one node from the start. Nodes whose fingerprints the SimHash operator links
-are candidates. Fingerprints of texts alike in 0.8 may differ in more bits than Golay keys can bridge, so beside
-that each node posts the first shingles of its set in
+"""Near-duplicate groups by SimHash: Golay keys join close fingerprints, and an exact prefix filter joins what is left.
+
+Documents are linked if the SimHash operator links their fingerprints (two bits or fewer), or if they are alike in
+``SIMILAR`` of their five-word shingles or more; linked documents make groups. Texts with the same words in the same order
+are one node from the start. The links of the operator come first and need no test; what they have joined isn't
+compared again. They may hold where shingles don't (edits all over a text spare less than 0.8), and
+fingerprints of texts alike in 0.8 may differ in more bits than Golay keys can bridge, so then
+each node posts the first shingles of its set in
 an order that all sets share: of n shingles, the first n - ceil(0.8 n) + 1, so that two sets alike in 0.8 post one in
 common at least (with fewer common shingles than that left over, they couldn't reach 0.8). The order puts shingles
 that are frequent in a bounded sample last; any order finds all links, this one has fewer nodes meet. Nodes that meet
-under a shingle, with sizes that allow 0.8 and enough shingles left in the order, are candidates; each candidate whose
-sketches allow it is verified by the Jaccard similarity of the whole sets.
+under a shingle, with sizes that allow 0.8 and enough shingles left in the order, are candidates; each candidate in two
+groups whose sketches allow it is verified by the Jaccard similarity of the whole sets.
 
 Where over ``CROWD`` nodes meet under one shingle, the first rounds propose links to ``HUBS`` of them only, and the
 last proposes every pair that verified links have not joined by then: no pair is left out, but those inside a
@@ -23,7 +25,7 @@ shingles eight bytes each. An empty table gives no row; extra columns are not re
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,12 +98,12 @@ def close(size: np.ndarray, length: np.ndarray, sketches: np.ndarray, j: np.ndar
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(key, node, size, sketch, fp): the digest, the number of shingles, their sketch and their SimHash fingerprint."""
+    """(key, node, size, sketch, fp): the digest, the number of shingles, their sketch, and the SimHash operator's fingerprint."""
 
     def rows(source: Iterator[dict]) -> Iterator[tuple]:
         for r in source:
             grams = shingles(r["text"])
-            fp = simhash.majority(grams.astype(">u8"))
+            fp = simhash.majority(simhash.hashes(r["text"]))
             yield (r["key"], digest(r["text"]), len(grams), sketch(grams), fp - (1 << 64) if fp >> 63 else fp)
 
     return map_rows(docs.select("key", "text"), "key long, node long, size int, sketch binary, fp long", rows)
@@ -360,16 +362,28 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return cut(kept.unionByName(over.join(found.select("node"), "node", "left_anti").select("node", "component")))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(key, leader) of each document of ``keyed``: the least key of its group."""
+def unlike(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes that are not in one group of ``found``."""
+    ends = [found.select(F.col("node").alias(e), F.col("component").alias(f"c{e}")) for e in "ab"]
+    both = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def groups(docs: DataFrame, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, leader) of each document of ``keyed``: the least key of its group.
+
+    ``first`` gives links (a, b) of the nodes that hold as they are, beside those by shingles: ``alike_prints``."""
     marked = cut(marks(docs))
     nodes = cut(marked.groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("size", "sketch", "fp"))))
+    found = components(first(nodes)) if first else None
     met = cut(meetings(posted(docs, *frequent(docs, nodes), nodes.count())))
     crowds = met.where("gram is not null").select("gram", F.col("a").alias("node"), "size", "rest")
-    pairs = cut(hopeful(nodes, met.where("gram is null").select("a", "b").unionByName(alike_prints(nodes)).distinct()))
+    pairs = met.where("gram is null").select("a", "b").distinct()
+    pairs = cut(hopeful(nodes, unlike(found, pairs) if first else pairs))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
     owned = cut(sets(docs, nodes.select("node", "key").join(wanted, "node")))
-    found = components(cut(verified(owned, pairs)))
+    links = cut(verified(owned, pairs))
+    found = joined(found, links) if first else components(links)
     if not crowds.isEmpty():
         crowds = cut(crowds.join(narrow(nodes), "node"))
         for turn, last in ((1, False), (2, True)):
@@ -384,5 +398,5 @@ def groups(docs: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less all but the first of each group of near duplicates; columns as they are."""
     own = keyed(docs)
-    others = groups(own.select("key", "text")).where("key <> leader").select("key")
+    others = groups(own.select("key", "text"), alike_prints).where("key <> leader").select("key")
     return own.join(others, "key", "left_anti").select(*docs.columns)

@@ -599,6 +599,35 @@ def test_near_duplicates_of_the_same_words_in_other_orders(spark):
     assert grouped(data) == [0, 1, 1] and leaders(spark, data) == [0, 1, 1]
 
 
+def test_near_duplicates_by_simhash(spark):
+    """What the SimHash operator links is one group where shingles alone say otherwise, and both kinds of links add up."""
+    rnd = random.Random(17)
+    words = ["".join(rnd.choices("aeioust", k=6)) for _ in range(5000)]
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    data = ["", "one", "two"]
+    while len(data) < 27:  # a text; one that only SimHash links to it; one that only shingles link to that one; another text
+        base = rnd.choices(words, k=300)
+        copy = changed(rnd, base, words, 9)
+        near = copy + rnd.choices(words, k=40)
+        three = [" ".join(x) for x in (base, copy, near)]
+        p, q, r = map(simple_print, three)
+        x, y, z = map(neardup.shingles, three)
+        if (p ^ q).bit_count() <= 2 < min((p ^ r).bit_count(), (q ^ r).bit_count()) and not alike(x, y) and not alike(x, z) and alike(y, z):
+            data += [*three, " ".join(rnd.choices(words, k=300))]
+    base = rnd.choices(words, k=100)
+    data += [" ".join(changed(rnd, base, words, 2)) for _ in range(40)]  # a crowd
+    rows = [(i, t, "x") for i, t in enumerate(data)]
+    by_words, by_prints = grouped(data), linked([simple_print(t) for t in data])
+    parent = list(range(len(data)))
+    for _ in data:
+        for i in range(len(data)):
+            for j in (by_words[i], by_prints[i]):
+                parent[i] = parent[j] = min(parent[i], parent[j])
+    assert sum(i == p for i, p in enumerate(parent)) <= sum(i == g for i, g in enumerate(by_words)) - 6
+    left = neardup.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, extra string")).collect()
+    assert sorted(r.doc_id for r in left) == [i for i, p in enumerate(parent) if i == p]
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------
 
 
