@@ -10,14 +10,13 @@ into pieces as they are encoded; extra columns are not read; an empty table has
 
 from __future__ import annotations
 
-import json
 import re
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import pairwise
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,9 +36,22 @@ _PLAIN = re.compile(r"[\n\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ÿ]*\Z")
 _SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+class Memo(dict):
+    """What ``make`` gives for a text; the first ``most`` of up to 64 characters are kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(self) < self.most and len(key) <= 64:
+            self[key] = found
+        return found
+
+
 class WordTokenizer:
-    """The tokenizer of a file. Plain texts go by memos of what it gives for pieces between spaces and for words,
-    with the file's merges for words that are new; all other texts go through the library whole."""
+    """The tokenizer of a file. Plain texts go by memos of what it gives for pieces between blanks and for words,
+    with the library's merges for words that are new; all other texts go through the library whole."""
 
     def __init__(self, spec: str):
         self.spec = spec
@@ -53,75 +65,28 @@ class WordTokenizer:
         self._start()
 
     def _start(self):
-        kept = worker_cache(("word tokenizer", zlib.crc32(self.spec.encode())), lambda: _load(self.spec))
-        self.full, self.first, self.pairs, self.words, self.chunks = kept
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = np.array(self.merge(word), "<u4").tobytes()
-            if len(self.words) < WORDS and len(word) <= 64:
-                self.words[word] = found
-        return found
-
-    def merge(self, word: str) -> list[int]:
-        raw = word.encode()
-        ids = [self.first[b] for b in raw[:-1]]
-        ids.append(self.first[256 + raw[-1]])
-        get = self.pairs.get
-        while len(ids) > 1:
-            found = [get(a << 16 | b, _NONE) for a, b in pairwise(ids)]
-            best = min(found)
-            if best == _NONE:
-                break
-            new, i, n = best & 0xFFFF, 0, len(ids)
-            if found.count(best) == 1:
-                i = found.index(best)
-                ids[i : i + 2] = (new,)
-                continue
-            out = []
-            while i < n:  # every non-overlapping pair of this merge, from the left
-                if i + 1 < n and found[i] == best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        self.full, self.chunks = worker_cache(("word tokenizer", zlib.crc32(self.spec.encode())), lambda: _load(self.spec))
 
     def encode(self, text: str) -> bytes:
         if not _PLAIN.match(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        low, out = text.lower(), []
-        chunks, get = self.chunks, self.chunks.get
-        for chunk in low.split(" "):
-            found = get(chunk)
-            if found is None:
-                found = b"".join(map(self.word, _SPLIT.findall(chunk)))
-                if len(chunks) < CHUNKS and len(chunk) <= 64:
-                    chunks[chunk] = found
-            out.append(found)
-        return b"".join(out)
-
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
-_NONE = 1 << 60
 
-
-def _load(spec: str) -> tuple:
+def _load(spec: str) -> tuple[Tokenizer, Memo]:
     full = Tokenizer.from_str(spec)
     full.encode_special_tokens = True
-    model = json.loads(spec)["model"]
-    vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-    names = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(kept))}
-    first = [vocab[names[b]] for b in range(256)] + [vocab[names[b] + suffix] for b in range(256)]
-    assert max(vocab.values()) < 1 << 16
-    pairs = {}
-    for rank, merge in enumerate(model["merges"]):
-        a, b = merge if isinstance(merge, list) else merge.split(" ")
-        pairs.setdefault(vocab[a] << 16 | vocab[b], rank << 16 | vocab[a + b])
-    return full, first, pairs, {}, {}
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves
+    names = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in kept)}
+    written = {c: "".join(names[b] for b in chr(c).encode()) for c in range(256)}
+    tokenize = full.model.tokenize
+
+    def word(text: str) -> bytes:
+        ids = [token.id for token in tokenize(text.translate(written))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    words = Memo(word, WORDS)
+    return full, Memo(lambda chunk: b"".join(map(words.__getitem__, _SPLIT.findall(chunk))), CHUNKS)
 
 
 def pieces(docs: DataFrame, spec: str, limit: int = LIMIT, end_id: int = END, with_ids: bool = False) -> DataFrame:

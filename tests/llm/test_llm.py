@@ -5,6 +5,7 @@ import itertools
 import math
 import os
 import random
+import time
 import zlib
 
 import duckdb
@@ -675,6 +676,51 @@ def test_word_tokenizer_is_the_library():
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_take_no_more_than_the_library():
+    with open(WORDS, encoding="utf-8") as file:
+        spec = file.read()
+    ours, theirs = packing.WordTokenizer(spec), Tokenizer.from_str(spec)
+    theirs.encode_special_tokens = True
+    rnd = random.Random(31)
+    ours.encode("a"), theirs.encode("a")
+
+    def took(f, text):
+        began = time.process_time()
+        found = f(text)
+        return time.process_time() - began, found
+
+    for text in ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzéß", k=20_000)), "x" * 50_000]:  # merging pair by pair in Python took seconds
+        own, ids = took(ours.encode, text)
+        least, whole = took(lambda t: theirs.encode(t, add_special_tokens=False).ids, text)
+        assert np.frombuffer(ids, "<u4").tolist() == whole
+        assert own <= 20 * least + 0.2
+
+
+def test_word_tokenizer_on_every_plain_character():
+    with open(WORDS, encoding="utf-8") as file:
+        spec = file.read()
+    ours, theirs = packing.WordTokenizer(spec), Tokenizer.from_str(spec)
+    plain = [chr(c) for c in range(256) if packing._PLAIN.match(chr(c))]
+    assert len(plain) > 200
+    for c in plain:
+        for text in (c, f"ab{c}cd", f"1{c}'s{c}{c} !{c}?\n{c}a"):
+            assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_full_memos_change_no_ids(monkeypatch):
+    with open(WORDS, encoding="utf-8") as file:
+        spec = file.read()
+    monkeypatch.setattr(packing, "CHUNKS", 20)
+    monkeypatch.setattr(packing, "WORDS", 10)
+    monkeypatch.setattr(packing, "worker_cache", lambda key, make: make())
+    ours, theirs = packing.WordTokenizer(spec), Tokenizer.from_str(spec)
+    rnd = random.Random(37)
+    for _ in range(200):
+        text = " ".join("".join(rnd.choices("abcdé1!", k=rnd.choice([1, 2, 5, 90]))) for _ in range(20))
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert len(ours.chunks) == 20
+
+
 def check_packing(rows, limit=4096):
     bins = {}
     for r in rows:
