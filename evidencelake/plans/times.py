@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidencelake.functions import scalars
 from evidencelake.operators import timeline
 from evidencelake.plans.registry import query
+from evidencelake.session import dealt
 
 _EV = "ev AS (SELECT event_id AS id, epoch_us(ts) / 1e6 AS sort, event_type AS action, 'u' || user_id AS path, 'u' || user_id AS name, event_type = 'error' AS flagged FROM events)"
 _MIN = "mi AS (SELECT floor(sort / 60)::BIGINT AS m, count(*) AS n, count(*) FILTER (WHERE flagged) AS f FROM ev GROUP BY 1)"
@@ -65,8 +66,11 @@ _FOUND = """f AS (SELECT k, n, created, modified, CASE WHEN created < fn_created
 
 
 def _stamped(t):
-    both = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_shipdate").cast("timestamp").alias("modified")).join(
-        t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("created")), "k")
+    items, orders = t("lineitem"), t("orders")
+    rows = items.count() + orders.count()
+    items = items.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_shipdate").cast("timestamp").alias("modified"))
+    orders = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("created"))
+    both = dealt(items, "k", count=rows).join(dealt(orders, "k", count=rows), "k")
     both = both.withColumn("fn_modified", F.col("modified") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("k") % 2 * 5).cast("decimal(18,6)") / 1000))
     return both.withColumn("fn_created", F.col("created") + F.make_dt_interval(F.col("n") - 3, F.lit(0), F.lit(0), (F.col("k") % 3).cast("decimal(18,6)") / 1000))
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one task, where what it holds grows with its rows.
+TASK_ROWS = 1 << 18
+
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; ``conf`` keys use ``_`` for ``.``."""
@@ -26,6 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(rows: int, spark: SparkSession) -> int:
+    """Tasks that ``rows`` are dealt to: as many more as there are more rows, one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def dealt(rows: DataFrame, *keys: str, count: int | None = None) -> DataFrame:
+    """``rows`` in ``parts`` by ``keys``, or by turns. Adaptive execution merges the partitions of its own shuffles to tasks of so many
+    bytes or one a core, whose memory then grows with the input; a number that is given stays.
+
+    The rows are counted for that, unless ``count`` is given: of a Parquet table by its footers alone.
+    """
+    return rows.repartition(parts(rows.count() if count is None else count, rows.sparkSession), *keys)
+
+
 def shared(spark: SparkSession) -> None:
     """Makes sure that checkpoints have the folder that all executors share; only in local mode is one made up."""
     context = spark.sparkContext

@@ -248,3 +248,11 @@ def test_similar_files_of_crowds(spark):
     for limit in (1, 7, 40, full, full + 5):
         assert got(limit) == expected[:limit]
     assert profile._alike(df.distinct(), 10 * full).count() == full
+
+
+def test_tasks_grow_with_the_items(spark, monkeypatch):
+    """Times of entries are joined in tasks of a bounded number of rows."""
+    from evidencelake import catalogue, session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    assert catalogue.QUERIES["timestamp_anomalies"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 100
