@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidencelake.session import dealt
+
 #: Width of the cells through which points and intervals meet.
 CELL = 1 << 16
 
 
 def merge(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Disjoint intervals; what touches is one. A window for each volume: gaps and islands."""
+    """Disjoint intervals; what touches is one. A window for each volume: gaps and islands.
+
+    Volumes are dealt to more tasks as there are more rows, so a task's memory doesn't grow with the table.
+    """
+    rows = dealt(rows.select(*keys, "start", "end"), *keys)
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order)
-    return rows.select(*keys, "start", "end").withColumn("reach", reach).withColumn("island", island).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    return rows.withColumn("reach", reach).withColumn("island", island).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def complement(merged: DataFrame, sizes: DataFrame, keys: list[str], least: int = 1) -> DataFrame:

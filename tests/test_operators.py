@@ -256,3 +256,13 @@ def test_tasks_grow_with_the_items(spark, monkeypatch):
 
     monkeypatch.setattr(session, "TASK_ROWS", 50)
     assert catalogue.QUERIES["timestamp_anomalies"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 100
+
+
+def test_tasks_grow_with_the_intervals(spark, monkeypatch):
+    """Volumes are dealt to tasks of a bounded number of rows, however few bytes they have."""
+    from evidencelake import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    df = spark.range(2000).select((F.col("id") % 500).alias("v"), (F.col("id") * 40).alias("start"), (F.col("id") * 40 + 30).alias("end"))
+    merged = intervals.merge(df, ["v"])
+    assert merged.rdd.getNumPartitions() >= 40 and merged.count() == 2000
