@@ -31,14 +31,14 @@ def complement(merged: DataFrame, sizes: DataFrame, keys: list[str], least: int
     return inner.unionByName(tail).where(F.col("end") - F.col("start") >= least)
 
 
-def covered(points: DataFrame, merged: DataFrame, keys: list[str], cell: int = CELL) -> DataFrame:
+def covered(points: DataFrame, merged: DataFrame, keys: list[str], cell: int = CELL, rows: int | None = None) -> DataFrame:
     """``points`` (pos) with ``inside``: start <= pos < end of some merged interval.
 
     Both sides go by cells of the axis, so the join is an equality; as merged intervals are disjoint, a point
-    meets one at most.
+    meets one at most. They are dealt to tasks by ``rows`` of both sides, if given, else by those of the points.
     """
     cells = merged.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell)))).where("end > start")
-    at = points.withColumn("cell", F.floor(F.col("pos") / cell))
+    at = dealt(points.withColumn("cell", F.floor(F.col("pos") / cell)), *keys, "cell", count=rows)
     same = [at[k] == cells[k] for k in [*keys, "cell"]]
     both = at.join(cells, [*same, at["pos"] >= cells["start"], at["pos"] < cells["end"]], "left")
     return both.select(*(at[c] for c in points.columns), cells["start"].isNotNull().alias("inside"))

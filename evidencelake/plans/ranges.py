@@ -41,9 +41,13 @@ def _points(t):
     return t("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("v"), (F.col("o_orderkey") * 41).alias("pos"))
 
 
+def _rows(t):
+    return t("lineitem").count() + t("orders").count()
+
+
 @query(f'WITH {_IV}, {_MERGED}, {_PT} SELECT id, v, pos FROM pt WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.v = pt.v AND m.start <= pos AND pos < m."end")')
 def unallocated_points(t):
-    return intervals.covered(_points(t), intervals.merge(_intervals(t), ["v"]), ["v"]).where("NOT inside").drop("inside")
+    return intervals.covered(_points(t), intervals.merge(_intervals(t), ["v"]), ["v"], rows=_rows(t)).where("NOT inside").drop("inside")
 
 
 @query(f"WITH {_IV}, {_MERGED}, {_PT} SELECT id, pt.v, pos, m.start AS next_start FROM pt ASOF LEFT JOIN merged m ON m.v = pt.v AND pos < m.start")

@@ -266,3 +266,6 @@ def test_tasks_grow_with_the_intervals(spark, monkeypatch):
     df = spark.range(2000).select((F.col("id") % 500).alias("v"), (F.col("id") * 40).alias("start"), (F.col("id") * 40 + 30).alias("end"))
     merged = intervals.merge(df, ["v"])
     assert merged.rdd.getNumPartitions() >= 40 and merged.count() == 2000
+    points = spark.range(2000).select((F.col("id") % 500).alias("v"), (F.col("id") * 40 + 1).alias("pos"))
+    inside = intervals.covered(points, merged, ["v"])
+    assert inside.rdd.getNumPartitions() >= 40 and inside.where("inside").count() == 2000
