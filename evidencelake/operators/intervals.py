@@ -44,14 +44,17 @@ def covered(points: DataFrame, merged: DataFrame, keys: list[str], cell: int = C
     return both.select(*(at[c] for c in points.columns), cells["start"].isNotNull().alias("inside"))
 
 
-def next_start(points: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:
-    """``points`` (pos) with the first interval start beyond: an as-of join by one sort of both sides together."""
+def next_start(points: DataFrame, merged: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """``points`` (pos) with the first interval start beyond: an as-of join by one sort of both sides together.
+
+    Volumes are dealt to tasks by ``rows`` of both sides, if given, else by those of the points."""
     pos = points.select(*keys, F.col("pos").alias("at"), F.lit(0).alias("side"), F.struct(*points.columns).alias("row"))
     begin = merged.select(*keys, F.col("start").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(pos.schema["row"].dataType).alias("row"))
     # at one place a start comes before the points there, as only later starts count
     after = Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("side").asc()).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.last(F.when(F.col("side") == 1, F.col("at")), ignorenulls=True).over(after)
-    return pos.unionByName(begin).withColumn("next_start", seen).where("side = 0").select("row.*", "next_start")
+    both = dealt(pos.unionByName(begin), *keys, count=points.count() if rows is None else rows)
+    return both.withColumn("next_start", seen).where("side = 0").select("row.*", "next_start")
 
 
 def drop_contained(hits: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,7 +52,7 @@ def unallocated_points(t):
 
 @query(f"WITH {_IV}, {_MERGED}, {_PT} SELECT id, pt.v, pos, m.start AS next_start FROM pt ASOF LEFT JOIN merged m ON m.v = pt.v AND pos < m.start")
 def next_interval(t):
-    return intervals.next_start(_points(t), intervals.merge(_intervals(t), ["v"]), ["v"])
+    return intervals.next_start(_points(t), intervals.merge(_intervals(t), ["v"]), ["v"], _rows(t))
 
 
 _HITS = """h AS (SELECT l_suppkey AS v, l_orderkey * 40 AS start, l_orderkey * 40 + (l_quantity * 5)::BIGINT * CASE WHEN l_linenumber % 3 = 0 THEN 20 ELSE 1 END AS "end", l_linenumber % 3 = 0 AS bounded, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_quantity, l_partkey) AS copy FROM lineitem)"""

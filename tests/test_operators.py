@@ -269,6 +269,8 @@ def test_tasks_grow_with_the_intervals(spark, monkeypatch):
     points = spark.range(2000).select((F.col("id") % 500).alias("v"), (F.col("id") * 40 + 1).alias("pos"))
     inside = intervals.covered(points, merged, ["v"])
     assert inside.rdd.getNumPartitions() >= 40 and inside.where("inside").count() == 2000
+    after = intervals.next_start(points, merged, ["v"])
+    assert after.rdd.getNumPartitions() >= 40 and after.where("next_start is null").count() == 500
 
 
 def test_fuzzy_compare_uses_all_cores(spark):
